@@ -99,6 +99,9 @@ def _byte_values(lower: bool) -> np.ndarray:
 #: A random value for each byte; in the second, A-Z equal a-z.
 BYTE_VALUE, LOWER_VALUE = _byte_values(False), _byte_values(True)
 
+#: Factors of a gram's words by their place; unrelated ones, so that no sum of some equals a sum of others.
+_PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+
 #: The bytes that separate words: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -144,7 +147,7 @@ def word_grams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray
     total = len(hashes) - k + 1
     sums = np.zeros(total, np.uint64)
     for j in range(k):
-        sums += hashes[j : j + total] * np.uint64((0xA0761D6478BD642F * (2 * j + 1) | 1) & _MASK)
+        sums += hashes[j : j + total] * _PLACE[j]
     first = np.arange(offsets[-1]) + np.repeat(rows[:-1] - offsets[:-1], per_row)
     return mix(sums[first]), first, offsets
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import gif, mixing, sharding, warc
+from fieldmerge.llm import gif, minhash, mixing, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc.pages_read(warc.write_archives(_table(spark, sf_dir, "pages")))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_gif_media, op4_mixing, op5_sharding, op8_warc)}
+QUERIES = {f.__name__: f for f in (op1_gif_media, op4_mixing, op5_sharding, op6_minhash, op8_warc)}
 
 ORACLE = {"op4_mixing": mixing.MIXING_SQL}
