@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import gif, minhash, mixing, sharding, warc
+from fieldmerge.llm import gif, htmltext, langid, minhash, mixing, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.gif_digests(gif.store_texts(_table(spark, sf_dir, "documents")))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,11 +33,15 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc.pages_read(warc.write_archives(_table(spark, sf_dir, "pages")))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_gif_media, op4_mixing, op5_sharding, op6_minhash, op8_warc)}
+QUERIES = {f.__name__: f for f in (op1_gif_media, op3_language, op4_mixing, op5_sharding, op6_minhash, op7_main_text, op8_warc)}
 
 ORACLE = {"op4_mixing": mixing.MIXING_SQL}
