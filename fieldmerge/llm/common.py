@@ -106,6 +106,10 @@ _PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: All of ASCII but letters and digits: what separates words where punctuation doesn't matter.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[i for i in range(128) if not chr(i).isalnum()]] = True
+
 
 def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     """n + 1 sums from which span_hash gets the hash of any byte range."""
@@ -120,13 +124,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a block, A-Z lower-cased: hashes, start and end bytes, and the n + 1 word offsets of its rows."""
+def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a block (runs of bytes that aren't between words), A-Z lower-cased: hashes, start and end bytes, and the n + 1 word offsets of its rows."""
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, np.zeros(len(at), np.int64)
-    solid = ~SPACE[data]
+    solid = ~between[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = solid[:-1], solid[1:]
     inner = at[(at > 0) & (at < n)]

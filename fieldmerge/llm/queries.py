@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import gif, htmltext, langid, minhash, mixing, sharding, warc
+from fieldmerge.llm import decontam, gif, htmltext, langid, licenses, minhash, mixing, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_gif_media, op3_language, op4_mixing, op5_sharding, op6_minhash, op7_main_text, op8_warc)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_gif_media, op3_language, op4_mixing, op5_sharding, op6_minhash, op7_main_text, op8_warc, op9_decontamination, op10_licenses)}
 
 ORACLE = {"op4_mixing": mixing.MIXING_SQL}
