@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import decontam, gif, htmltext, langid, licenses, minhash, mixing, sharding, warc
+from fieldmerge.llm import decontam, gif, htmltext, langid, licenses, minhash, mixing, sharding, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.gif_digests(gif.store_texts(_table(spark, sf_dir, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -50,6 +54,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif_media, op3_language, op4_mixing, op5_sharding, op6_minhash, op7_main_text, op8_warc, op9_decontamination, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_gif_media, op2_suffix_dedup, op3_language, op4_mixing, op5_sharding, op6_minhash, op7_main_text, op8_warc, op9_decontamination, op10_licenses)}
 
 ORACLE = {"op4_mixing": mixing.MIXING_SQL}
