@@ -56,26 +56,31 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
 
     copies is what the mix takes of the row: floor(rate), and one more with the fraction's probability. Rows of equal
     doc_id draw alike, so reruns and recomputed tasks agree. A null text has size 0, a null source is a source of its
-    own, an empty table gives no rows. keep: the columns of docs stay (ours are then named _size, _source_size,
-    _target, _copies, so that no name can clash)."""
+    own, an empty table gives no rows. keep: the columns of docs and one more, the last, for the copies, under a name
+    that none of them has."""
     sizes = docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"))
     if not keep:
         sizes = written(sizes, "sizes")
     rates = written(source_targets(sizes, weights, share, most), "rates")
-    rates = rates.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rows = docs if keep else sizes
-    joined = rows.join(F.broadcast(rates) if few else rates, rows["source"].eqNullSafe(rates["_of"]))
-    copies = F.floor("_rate").cast("int") + (draw(rows["doc_id"], seed) < F.col("_rate") - F.floor("_rate")).cast("int")
+    free = "_mix"
+    while any(c.lower().startswith(free) for c in rows.columns):
+        free += "_"
+    rates = rates.toDF(*(f"{free}_{c}" for c in rates.columns))
+    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(rates) if few else rates, rows["source"].eqNullSafe(rates[f"{free}_source"]))
+    rate = F.col(f"{free}_rate")
+    copies = F.floor(rate).cast("int") + (draw(rows["doc_id"], seed) < rate - F.floor(rate)).cast("int")
     if keep:
-        return joined.withColumn("_copies", copies).drop("_of", "_rate")
-    return joined.withColumn("copies", copies).select("doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        return joined.select(*(rows[f"`{c}`"] for c in rows.columns), copies.alias(f"{free}_copies"))
+    return joined.withColumn("copies", copies).select("doc_id", "source", "size", F.col(f"{free}_source_size").alias("source_size"), F.col(f"{free}_target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as the plan takes it, with the columns of docs."""
     plan = mixing_plan(docs, keep=True, **options)
-    return plan.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    copies = plan[plan.columns[-1]]
+    return plan.where(copies > 0).withColumn(f"{plan.columns[-1]}_", F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 MIXING_SQL = """

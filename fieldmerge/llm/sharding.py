@@ -104,7 +104,8 @@ def find_splitters(keys: DataFrame, total: int, shards: int, tolerance: float =
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, tolerance: float = TOLERANCE, whole_group: float = WHOLE_GROUP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot for each row of docs (doc_id long, text), and its columns `keep`.
+    """doc_id, size, text_crc32, shard and slot for each row of docs (doc_id long, text), and its columns `keep`; one of
+    these that has such a name itself gets _of_input behind it.
 
     size: UTF-8 bytes of the text (null: 0) plus overhead; shards have nearly equal sizes. slot numbers the rows of a
     shard from 0 without gaps. Rows of equal text and doc_id can't be told apart: they stay in one shard and take its
@@ -134,5 +135,6 @@ def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, tol
     joined = placed.join(starts, ["_shard", "_part"]) if parts > 1 else placed.withColumn("_start", F.lit(0))
     slot = F.col("_start") + F.row_number().over(Window.partitionBy("_shard", "_part").orderBy("_hash", "_doc")) - 1
     out = [F.col("_doc").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), slot.cast("long").alias("slot")]
-    return joined.select(*out, *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
+    names = {"doc_id", "size", "text_crc32", "shard", "slot"}
+    return joined.select(*out, *(F.col(f"k{i}").alias(f"{c}_of_input" if c.lower() in names else c) for i, c in enumerate(keep)))
 
