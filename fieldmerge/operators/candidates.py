@@ -9,6 +9,10 @@ from fieldmerge.functions.geometry import manhattan, within
 
 #: More candidate links in a submission, or observations or links in a component, are refused.
 MOST_LINKS, MOST_COMPONENT_NODES, MOST_COMPONENT_LINKS = 100_000, 200, 5_000
+# What is said of these refusals.
+SAY_LINKS = "候选关联数量 %d 超出求解上限 %d，请缩小容差或拆分批次"
+SAY_COMPONENT_NODES = "单个重叠区域的观测数 %d 超出求解上限 %d"
+SAY_COMPONENT_LINKS = "单个重叠区域的候选关联数 %d 超出求解上限 %d"
 
 _SIDE = ["uid", "field_idx", "particle_id", "filter_x", "filter_y"]
 

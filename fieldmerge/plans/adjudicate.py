@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldmerge.operators import assemble, candidates, forest, validate
 from fieldmerge.operators.components import components
 from fieldmerge.operators.expand import expand
+from fieldmerge.plans.settled import settled
 
 
 @dataclass
@@ -22,20 +23,24 @@ class Adjudication:
 
 
 def adjudicate(observations: DataFrame, banded: bool = False) -> Adjudication:
-    """Final objects of any observations; nothing is checked, and any number of fields is taken.
+    """Final objects of any observations; nothing is checked, and any number of fields is taken."""
+    observations = settled(observations)
+    links = settled(candidates.candidate_links_banded(observations) if banded else candidates.candidate_links(observations))
+    return _solved(observations, links, settled(components(links)))
 
-    observations is used by several joins: a caller that computes it at some cost should have written it."""
-    links = candidates.candidate_links_banded(observations) if banded else candidates.candidate_links(observations)
-    parts = components(links)
-    chosen = forest.chosen_links(observations, links, parts)
+
+def _solved(observations: DataFrame, links: DataFrame, parts: DataFrame) -> Adjudication:
+    chosen = settled(forest.chosen_links(observations, links, parts))
     return Adjudication(observations, links, parts, chosen, assemble.final_particles(observations, chosen))
 
 
 def refusals(links: DataFrame, parts: DataFrame) -> DataFrame:
     """(submission_id, error_message) of submissions beyond the solver's limits: the first offence by component."""
-    whole = candidates.link_counts(links).where("over_limit").select("submission_id", F.lit(-1).alias("component"), F.format_string("候选链接数超过上限 %d", F.lit(candidates.MOST_LINKS)).alias("m"))
+    say = lambda template, n, most: F.format_string(template, F.col(n), F.lit(most))
+    whole = candidates.link_counts(links).where("over_limit").select("submission_id", F.lit(-1).alias("component"), say(candidates.SAY_LINKS, "n_links", candidates.MOST_LINKS).alias("m"))
     sizes = candidates.component_sizes(links, parts).where("over_limit")
-    said = F.when(F.col("n_nodes") > candidates.MOST_COMPONENT_NODES, F.format_string("连通分量观测数超过上限 %d", F.lit(candidates.MOST_COMPONENT_NODES))).otherwise(F.format_string("连通分量链接数超过上限 %d", F.lit(candidates.MOST_COMPONENT_LINKS)))
+    nodes = say(candidates.SAY_COMPONENT_NODES, "n_nodes", candidates.MOST_COMPONENT_NODES)
+    said = F.when(F.col("n_nodes") > candidates.MOST_COMPONENT_NODES, nodes).otherwise(say(candidates.SAY_COMPONENT_LINKS, "n_links", candidates.MOST_COMPONENT_LINKS))
     return whole.unionByName(sizes.select("submission_id", "component", said.alias("m"))).groupBy("submission_id").agg(F.min_by("m", "component").alias("error_message"))
 
 
@@ -43,16 +48,16 @@ def process_submissions(raw: DataFrame) -> DataFrame:
     """(submission_id, status, error_message, issues, result) of raw bodies (submission_id, body): status 200 with a result,
     413 for a body beyond the limit, 400 with located issues, 422 beyond the solver's limits."""
     nothing = F.array().cast("array<struct<path:string,message:string>>")
-    found = validate.inspected(raw)
-    issues = validate.issues(found)
+    found = settled(validate.inspected(raw))
+    issues = settled(validate.issues(found))
     refused = issues.groupBy("submission_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "message"))), lambda i: i.dropFields("ord")).alias("issues"))
-    submissions = validate.normalised(found, refused)
-    observations = expand(submissions)
-    links = candidates.candidate_links(observations)
-    parts = components(links)
-    over = refusals(links, parts)
-    solvable = observations.join(over, "submission_id", "left_anti")
-    done = adjudicate(solvable)
+    submissions = settled(validate.normalised(found, refused))
+    observations = settled(expand(submissions))
+    links = settled(candidates.candidate_links(observations))
+    parts = settled(components(links))
+    over = settled(refusals(links, parts))
+    solvable, links, parts = (x.join(over, "submission_id", "left_anti") for x in (observations, links, parts))
+    done = _solved(solvable, links, parts)
     fields = submissions.join(over, "submission_id", "left_anti").select("submission_id", "tolerance", F.size("fields").alias("field_count"))
     result = F.struct(F.col("tolerance"), F.col("field_count").alias("fieldCount"), F.col("observation_count").alias("observationCount"), F.col("link_count").alias("linkCount"), F.col("total_particles").alias("totalParticles"), F.col("particles"))
     listed = done.particles.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct(
@@ -64,5 +69,6 @@ def process_submissions(raw: DataFrame) -> DataFrame:
     large = raw.select("submission_id", (F.octet_length("body") > validate.MOST_BYTES).alias("large"))
     joined = large.join(refused, "submission_id", "left").join(over, "submission_id", "left").join(solved, "submission_id", "left")
     status = F.when(F.col("large"), 413).when(F.col("issues").isNotNull(), 400).when(F.col("error_message").isNotNull(), 422).otherwise(200)
-    message = F.when(F.col("large"), "请求体过大").when(F.col("issues").isNotNull(), "提交数据无效").otherwise(F.col("error_message"))
+    unread = F.exists("issues", lambda i: i["message"] == validate.SAY_JSON)
+    message = F.when(F.col("large"), validate.SAY_LARGE).when(unread, validate.SAY_UNREAD).when(F.col("issues").isNotNull(), validate.SAY_REFUSED).otherwise(F.col("error_message"))
     return joined.select("submission_id", status.alias("status"), message.alias("error_message"), F.coalesce("issues", nothing).alias("issues"), "result")
