@@ -38,6 +38,8 @@ def align(a: np.ndarray, b: np.ndarray, low: int | None = None, high: int | None
         np.maximum(step, before[first + 1 : end + 1] - 1, out=step)
         np.maximum(step, 0, out=step)
         row[first:end] = np.maximum.accumulate(step + ramp[first:end]) - ramp[first:end]
+    if not cells.any():
+        return Alignment(0, 0, (0, 0), (0, 0))
     i, c = (int(x) for x in np.unravel_index(cells.argmax(), cells.shape))
     score, matched, ends, firsts = int(cells[i, c]), 0, (i, i + low + c), (i, i + low + c)
     while i > 0 and cells[i, c] > 0:
