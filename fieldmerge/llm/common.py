@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts of a batch are worked on in blocks of about this many bytes, so memory follows the longest text only.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -76,7 +76,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
-    return _powers(max(22, int(n).bit_length()) + (1 if n >= BLOCK_BYTES else 1))
+    return _powers(max(21, int(n + 1).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,8 +5,6 @@ Documents with equal shingle sets are one class from the start; only one of each
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +19,9 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree less are not verified: 5 standard deviations below a similarity of 0.75.
 LEAST_AGREEMENT = 0.55
-#: Documents of a bucket are compared in blocks of so many.
+#: What one task's union-find takes (some 50 MB).
+FEW_EDGES = 200_000
+#: Documents of a bucket or a family are compared in blocks of so many.
 BUCKET_BLOCK = 2048
 
 _RANK, _SLOT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -88,7 +88,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), two 64-bit sums of the set that name its class, and the signature (null if the set is empty)."""
+    """doc_id, n (set size), two 64-bit sums of the set that name its class, the signature (null if the set is empty) and
+    brief, the lowest byte of each of its slots, which is enough to compare."""
 
     def rows(batches):
         for b in batches:
@@ -98,9 +99,9 @@ def shingled(docs: DataFrame) -> DataFrame:
                 signed = signatures(sets, offsets)
                 n = np.diff(offsets)
                 named = [as_long(x[1:] - x[:-1]) for x in both]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, end - i), pa.array(n), pa.array(named[0]), pa.array(named[1]), pa.array([s.tobytes() if k else None for s, k in zip(signed, n, strict=True)], pa.binary())], ["doc_id", "n", "set1", "set2", "signature"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, end - i), pa.array(n), pa.array(named[0]), pa.array(named[1]), *(pa.array([s.tobytes() if k else None for s, k in zip(x, n, strict=True)], pa.binary()) for x in (signed, signed.astype(np.uint8)))], ["doc_id", "n", "set1", "set2", "signature", "brief"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(rows, "doc_id long, n long, set1 long, set2 long, signature binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(rows, "doc_id long, n long, set1 long, set2 long, signature binary, brief binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -113,106 +114,147 @@ def _banded(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(rows, "band long, id long")
 
 
+def _briefs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint8).reshape(len(column), SLOTS)
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those whose signatures agree enough."""
 
     def rows(batches):
         for b in batches:
             if b.num_rows:
-                one, two = (np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(i)]) for i in (2, 3))
+                one, two = (_briefs(b.column(i)) for i in (2, 3))
                 yield b.select(["a", "b"]).filter(pa.array((one == two).mean(axis=1) >= LEAST_AGREEMENT))
 
     signed = pairs
     for side in ("a", "b"):
-        signed = signed.join(classes.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}")), side)
+        signed = signed.join(classes.select(F.col("id").alias(side), F.col("brief").alias(f"s{side}")), side)
     return signed.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those linked by their full shingle sets."""
+def _linked(families: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) within the families (id, component), decided on full shingle sets: a spanning forest of each block.
+
+    A family is dealt into blocks; each pair of blocks meets in a task that holds these two only. A pair is looked at if
+    it isn't joined by links of this task already and its signatures don't rule it out; nothing but links comes out."""
 
     def sets(batches):
         for b in batches:
             for i, end, data, at in text_blocks(b.column(1)):
                 found, offsets = shingle_sets(data, at)
-                found = [found[offsets[r] : offsets[r + 1]] for r in range(end - i)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, end - i), pa.array([int(x.sum().view(np.int64)) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "name", "members"])
+                briefs = signatures(found, offsets).astype(np.uint8)
+                own = [found[offsets[r] : offsets[r + 1]] for r in range(end - i)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, end - i), pa.array([int(x.sum().view(np.int64)) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in briefs], pa.binary())], ["id", "name", "members", "brief"])
 
-    def linked(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(one) + len(two) - len(np.union1d(one, two))
-                keep.append(LINK[1] * both >= LINK[0] * (len(one) + len(two) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).join(ids, "id", "left_semi")
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).join(families.select("id"), "id", "left_semi")
     # rows of one doc_id and text give one set
-    members = written(texts.mapInArrow(sets, "id long, name long, members binary").dropDuplicates(["id", "name"]), "sets")
-    both = pairs
-    for side in ("a", "b"):
-        both = both.join(members.select(F.col("id").alias(side), F.col("members").alias(f"m{side}")), side)
-    return both.select("a", "b", "ma", "mb").mapInArrow(linked, "a long, b long")
+    members = texts.mapInArrow(sets, "id long, name long, members binary, brief binary").dropDuplicates(["id", "name"])
+    sizes = families.groupBy("component").agg(F.count("*").alias("size"))
+    rows = members.join(families.join(sizes, "component"), "id").select("component", "id", "members", "brief", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    order = ["component", "q", "r"]
+    dealt = dealt.select("component", F.least("own", "other").alias("q"), F.greatest("own", "other").alias("r"), "own", "id", "members", "brief")
+
+    def compare(held):
+        whole = pa.Table.from_batches(held)
+        ids, side = np.asarray(whole["id"]), np.asarray(whole["own"])
+        briefs = _briefs(whole["brief"].combine_chunks())
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in whole["members"]]
+        sizes = np.array([len(x) for x in full])
+        up: dict[int, int] = {}
 
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
 
-def _within_buckets(rows: DataFrame) -> DataFrame:
-    """Pairs of agreeing documents of one bucket and different components, for those rows that ask.
-
-    rows: band, id, component, asks, size (of the bucket), signature. A bucket is dealt into blocks; a block of asking
-    rows meets each block of the bucket in a task that holds these two blocks only."""
-    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asked = rows.select("band", F.explode(every).alias("q"), F.col("own").alias("r"), F.lit(False).alias("asks"), "id", "component", "signature")
-    asking = rows.where("asks").select("band", F.col("own").alias("q"), F.explode(every).alias("r"), "asks", "id", "component", "signature")
-    order = ["band", "q", "r"]
-    dealt = asked.union(asking).repartition(*order).sortWithinPartitions(*order)
-
-    def compare(batches):
+        links = []
+        q = int(whole["q"][0].as_py())
+        apart = q != whole["r"][0].as_py()
+        for i in np.flatnonzero(side == q):
+            others = np.flatnonzero(side != q) if apart else np.arange(i + 1, len(ids))
+            agreed = (briefs[others] == briefs[i]).sum(axis=1)
+            near = (agreed >= LEAST_AGREEMENT * SLOTS) & (LINK[1] * np.minimum(sizes[others], sizes[i]) >= LINK[0] * np.maximum(sizes[others], sizes[i]))
+            for j in others[near][np.argsort(-agreed[near], kind="stable")].tolist():
+                a, b = root(int(ids[i])), root(int(ids[j]))
+                if a == b:
+                    continue
+                both = len(np.intersect1d(full[i], full[j], assume_unique=True))
+                if LINK[1] * both >= LINK[0] * (sizes[i] + sizes[j] - both):
+                    up[max(a, b)] = min(a, b)
+                    links.append((int(ids[i]), int(ids[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_by_key(order, compare), "a long, b long")
+
+
+def _by_key(order: list[str], work):
+    """A function for mapInArrow that calls work with the batches of each run of rows with equal keys."""
+
+    def run(batches):
         held, key = [], None
-
-        def done():
-            whole = pa.Table.from_batches(held)
-            asks = np.asarray(whole["asks"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-            if not asks.any() or asks.all():
-                return
-            ids, parts = np.asarray(whole["id"]), np.asarray(whole["component"])
-            signed = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in whole["signature"]])
-            mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-            least = int(np.ceil(LEAST_AGREEMENT * signed.shape[1]))
-            for i in mine:
-                hit = others[(signed[others] == signed[i]).sum(axis=1) >= least]
-                hit = hit[parts[hit] != parts[i]]
-                if len(hit):
-                    a, b = np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([np.asarray(batch.column(n)).astype(np.int64) for n in order], 1)
+            keys = np.stack([np.asarray(batch.column(batch.schema.get_field_index(n))).astype(np.int64) for n in order], 1)
             edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
             for first, end in zip(edges[:-1], edges[1:], strict=True):
                 now = tuple(keys[first])
                 if now != key and held:
-                    yield from done()
+                    yield from work(held)
                     held = []
                 key = now
                 held.append(batch.slice(first, end - first))
         if held:
-            yield from done()
+            yield from work(held)
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return run
+
+
+def _within_buckets(rows: DataFrame) -> DataFrame:
+    """Pairs of agreeing documents of one bucket and different components, for those rows that ask: of each other component
+    the one that agrees most.
+
+    rows: band, id, component, asks, size (of the bucket), brief. A bucket is dealt into blocks; a block of asking rows
+    meets each block of the bucket in a task that holds these two blocks only."""
+    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    asked = rows.select("band", F.explode(every).alias("q"), F.col("own").alias("r"), F.lit(False).alias("asks"), "id", "component", "brief")
+    asking = rows.where("asks").select("band", F.col("own").alias("q"), F.explode(every).alias("r"), "asks", "id", "component", "brief")
+    order = ["band", "q", "r"]
+
+    def compare(held):
+        whole = pa.Table.from_batches(held)
+        asks = np.asarray(whole["asks"].combine_chunks().to_numpy(zero_copy_only=False), bool)
+        if not asks.any() or asks.all():
+            return
+        ids, parts = np.asarray(whole["id"]), np.asarray(whole["component"])
+        briefs = _briefs(whole["brief"].combine_chunks())
+        others = np.flatnonzero(~asks)
+        pairs: list[np.ndarray] = []
+        for i in np.flatnonzero(asks):
+            agreed = (briefs[others] == briefs[i]).sum(axis=1)
+            near = (agreed >= LEAST_AGREEMENT * SLOTS) & (parts[others] != parts[i])
+            hit = others[near][np.lexsort((ids[others[near]], -agreed[near], parts[others[near]]))]
+            if len(hit):
+                hit = hit[np.append(True, parts[hit][1:] != parts[hit][:-1])]
+                pairs.append(np.stack([np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])]))
+        if pairs:
+            a, b = np.concatenate(pairs, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return asked.union(asking).repartition(*order).sortWithinPartitions(*order).mapInArrow(_by_key(order, compare), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for the ends of the edges (a, b); component is the smallest id reachable.
 
     Union-find within each partition first leaves a forest of its edges. Then rounds of contraction: each node joins
-    its neighbour (or itself) of the least random rank of that round, so the graph shrinks by a constant factor; all
-    rounds are joins and sums, and no task holds a component."""
+    its neighbour (or itself) of the least random rank of that round, so the graph shrinks by a constant factor. Once
+    FEW_EDGES or fewer edges are left, one task's union-find ends it; no task holds more."""
 
     def forest(batches):
         parent: dict[int, int] = {}
@@ -232,23 +274,34 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = [p for p in pairs if p[0] != p[1]]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
+    def roots(batches):
+        for b in forest(batches):
+            yield b.rename_columns(["node", "to"])
+
     edges = written(edges.mapInArrow(forest, "a long, b long"), "edges")
     labels = None
     for number in range(200):
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("rank"), c.alias("to"))  # noqa: B023, E731
-        moved = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("near")).select(F.col("a").alias("node"), F.least("near", rank(F.col("a"))).getField("to").alias("to"))
+        few = edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES
+        if few:
+            moved = edges.repartition(1).mapInArrow(roots, "node long, to long")
+        else:
+            both = edges.select("a", "b").union(edges.select("b", "a"))
+            rank = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("rank"), c.alias("to"))  # noqa: B023, E731
+            near = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("near"))
+            moved = near.select(F.col("a").alias("node"), F.least("near", rank(F.col("a"))).getField("to").alias("to"))
         moved = written(moved, "moved")
         if labels is None:
             labels = moved.select(F.col("node").alias("id"), F.col("to").alias("label"))
+            if few:  # a root has no row of its own
+                labels = labels.union(labels.select("label", "label").distinct())
         else:
             labels = labels.join(moved, labels["label"] == moved["node"], "left").select("id", F.coalesce("to", "label").alias("label"))
+        if few:
+            break
         labels = written(labels, "labels")
         for side in ("a", "b"):
             edges = edges.join(moved.withColumnRenamed("node", side), side).drop(side).withColumnRenamed("to", f"_{side}")
         edges = written(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), "edges")
-        if edges.isEmpty():
-            break
     else:
         raise RuntimeError("contraction did not end")
     least = labels.groupBy("label").agg(F.min("id").alias("component"))
@@ -263,27 +316,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component of the rows with its shingle set, null if these have no doc_id either, and isn't kept. An empty table
     gives no rows.
 
-    Candidates: in each bucket of a band every class meets the bucket's first; then those that are in another component
-    than the first meet all others of the bucket that aren't in their own, in blocks. So each pair that shares a band
-    is either verified, or in one component already, or its signatures rule it out."""
+    Candidates: in each bucket of a band every class meets the bucket's first, and those whose signatures agree are one
+    family; then those of another family than the first are compared with all others of the bucket, in blocks, and
+    families join that have an agreeing pair. So each pair that shares a band and agrees is in one family, and within
+    families links are decided on full sets."""
     base = written(shingled(docs), "shingled")
     names = base.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("id"))
-    members = written(base.where("n > 0").join(names, ["set1", "set2", "n"]).select("doc_id", "n", "id", F.when(F.col("doc_id") == F.col("id"), F.col("signature")).alias("signature")), "members")
-    classes = written(members.where("signature is not null").dropDuplicates(["id", "signature"]).select("id", "signature"), "classes")
+    members = written(base.where("n > 0").join(names, ["set1", "set2", "n"]).select("doc_id", "n", "id", *(F.when(F.col("doc_id") == F.col("id"), F.col(c)).alias(c) for c in ("signature", "brief"))), "members")
+    classes = written(members.where("signature is not null").dropDuplicates(["id", "signature"]).select("id", "signature", "brief"), "classes")
     bands = written(_banded(classes), "bands")
     buckets = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
     shared = written(bands.join(buckets, "band"), "shared")
     stars = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = [written(_verified(written(_agreeing(stars, classes), "agreeing"), docs), "links")]
-    found = components(links[0])
-    part = F.coalesce("component", "id")
-    placed = shared.join(found, "id", "left").select("band", "id", "size", "first", part.alias("component"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("id") == F.col("first"), F.col("component"))).alias("main")).where("low <> high")
+    near = written(_agreeing(stars, classes), "agreeing")
+    families = components(near)
+    placed = shared.join(families, "id", "left").select("band", "id", "size", "first", F.coalesce("component", "id").alias("component"))
+    main = F.max(F.when(F.col("id") == F.col("first"), F.col("component"))).alias("main")
+    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), main).where("low <> high")
     rows = placed.join(open_.select("band", "main"), "band").select("band", "id", "component", (F.col("component") != F.col("main")).alias("asks"), "size")
-    more = written(_within_buckets(rows.join(classes, "id")), "within")
+    more = written(_within_buckets(rows.join(classes.select("id", "brief"), "id")), "within")
     if not more.isEmpty():
-        links.append(written(_verified(more, docs), "links"))
-        found = components(reduce(DataFrame.union, links))
+        families = components(near.union(more))
+    found = components(_linked(families, docs))
     grouped = members.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     alone = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

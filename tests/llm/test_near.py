@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from fieldmerge.llm import minhash
 
@@ -63,7 +64,9 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 3, 200_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW_EDGES", few)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (300, 100), (500, 400)]
     out = {r["id"]: r["component"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert out == {**dict.fromkeys(range(61), 0), **dict.fromkeys((100, 200, 300), 100), 400: 400, 500: 400}
