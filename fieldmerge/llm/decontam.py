@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare word grams of the test items seed candidates in the training texts, and
+"""Benchmark decontamination: word grams of the test items seed candidates in the training texts, and
 Smith-Waterman alignment scores copies, edited ones included.
 """
 
@@ -16,8 +16,6 @@ from fieldmerge.llm.common import PUNCTUATION, text_blocks, word_grams, words
 
 #: Words of a seed, different seeds that a passage needs, and the part of an item's best possible score that a copy reaches.
 GRAM, SEEDS, COPY = 3, 2, 0.5
-#: A seed of an item occurs in at most RARE times as many documents as the item's rarest gram, or in no more than its median gram.
-RARE = 4
 #: The items are taken in blocks of about so many bytes, each a pass over the documents: what is sent to the tasks stays bounded.
 ITEM_BYTES = 4 << 20
 
@@ -45,41 +43,6 @@ class Items:
                 number += 1
         empty = [np.zeros(0, np.uint64)]
         self.table = GramTable(np.concatenate(grams + empty), np.concatenate([*owner, np.zeros(0, np.int64)]), np.concatenate([*place, np.zeros(0, np.int64)]))
-        self.distinct = np.unique(self.table.grams)
-        self.seed = np.ones(len(self.table.grams), bool)
-
-    def keep_rare(self, frequency: np.ndarray) -> None:
-        """frequency: documents with each of self.distinct."""
-        often = frequency[np.searchsorted(self.distinct, self.table.grams)]
-        order = np.argsort(self.table.owner, kind="stable")
-        edges = np.flatnonzero(np.diff(self.table.owner[order])) + 1
-        for own in np.split(order, edges) if len(order) else []:
-            self.seed[own] = often[own] <= max(RARE * often[own].min(), np.median(often[own]))
-
-
-def _frequencies(docs: DataFrame, items) -> np.ndarray:
-    """In how many documents each of the items' grams occurs; a sum in each task, then over tasks."""
-
-    def count(batches):
-        own = items.value
-        sums = np.zeros(len(own.distinct), np.int64)
-        for b in batches:
-            for _, _, data, at in text_blocks(b.column(1)):
-                hashes, _, _, rows = words(data, at, PUNCTUATION)
-                grams, _, offsets = word_grams(hashes, rows, GRAM)
-                maybe = np.flatnonzero(own.table.seen[(grams >> np.uint64(44)).astype(np.int64)])
-                slot = np.minimum(np.searchsorted(own.distinct, grams[maybe]), max(0, len(own.distinct) - 1))
-                hit = own.distinct[slot] == grams[maybe] if len(own.distinct) else np.zeros(0, bool)
-                doc = np.searchsorted(offsets, maybe[hit], "right") - 1
-                pairs = np.unique(doc * len(sums) + slot[hit])
-                np.add.at(sums, pairs % max(1, len(sums)), 1)
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["gram", "n"])
-
-    found = docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros(len(items.value.distinct), np.int64)
-    sums[found["gram"].to_numpy(int)] = found["n"].to_numpy(int)
-    return sums
 
 
 def copies_in(own: Items, text: np.ndarray, at: np.ndarray, entries: np.ndarray) -> list[tuple[int, float, int, int, int]]:
@@ -100,6 +63,8 @@ def copies_in(own: Items, text: np.ndarray, at: np.ndarray, entries: np.ndarray)
             if len(np.unique(own.table.grams[entries[part]])) < min(SEEDS, len(query) - GRAM + 1):
                 continue
             first, end = max(0, int(at[part[0]]) - len(query)), min(len(text), int(at[part[-1]]) + GRAM + len(query))
+            if np.isin(query, text[first:end]).sum() < COPY * len(query):
+                continue  # no alignment scores more than MATCH for each word that stands there
             found = align(query, text[first:end])
             score = found.score / (MATCH * len(query))
             if score >= COPY and (best is None or score > best[1]):
@@ -116,8 +81,6 @@ def _matches(own: Items, texts: pa.Array) -> list[tuple[int, int, float, int, in
         hashes, _, _, rows = words(data, at, PUNCTUATION)
         grams, first, offsets = word_grams(hashes, rows, GRAM)
         hit, entries = own.table.find(grams)
-        good = own.seed[entries]
-        hit, entries = hit[good], entries[good]
         doc = np.searchsorted(offsets, hit, "right") - 1
         # only pairs of a document and an item with enough hits go on
         pair = doc * len(own.words) + own.table.owner[entries]
@@ -132,16 +95,14 @@ def _matches(own: Items, texts: pa.Array) -> list[tuple[int, int, float, int, in
 
 
 def _item_blocks(docs: DataFrame, benchmark: DataFrame):
-    """For each block of items: a broadcast Items with its rare seeds, and the Arrow type of item_id."""
+    """For each block of items: a broadcast Items, and the Arrow type of item_id."""
     spark = docs.sparkSession
-    texts = _lowered(docs, "doc_id")
     item_bytes = benchmark.agg(F.coalesce(F.sum(F.octet_length(benchmark["text"].cast("string"))), F.lit(0))).first()[0]
     blocks = max(1, -(-int(item_bytes) // ITEM_BYTES))
     asked = _lowered(benchmark, "item_id").withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)))
     for number in range(blocks):
         table = asked.where(F.col("block") == number).toArrow()
         items = Items(table["key"].to_pylist(), table["text"].combine_chunks())
-        items.keep_rare(_frequencies(texts, spark.sparkContext.broadcast(items)))
         yield spark.sparkContext.broadcast(items), table.schema.field("key").type
 
 
@@ -149,6 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, matched_words, first_word and end_word of each pair of a document (doc_id, text) and a test
     item (item_id, text) of which it holds a copy: the best one, as a part of the item's best possible score.
 
+    All grams of an item are seeds, however many documents hold them; a passage is aligned if it has SEEDS different ones.
     Words are runs of letters and digits, lower-cased. Items of fewer than GRAM words and null texts match nothing; an
     item of GRAM words needs a passage that is the same. Rows of an item_id or doc_id that occur more than once are
     items or documents of their own. Empty tables give no rows."""

@@ -120,3 +120,15 @@ def test_pipeline(spark, tmp_path):
     for k in {r["shard"] for r in out}:
         slots = sorted(r["slot"] for r in out if r["shard"] == k)
         assert slots == list(range(len(slots)))
+
+
+def test_edited_copies_need_no_rare_gram(spark):
+    """Edited copies without an exact one, and many edited copies beside an exact one, whose grams are then the rarest."""
+    item = [f"q{i}" for i in range(40)]
+    edited = " ".join("edit" if i % 5 == 4 else w for i, w in enumerate(item))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    alone = spark.createDataFrame([(1, f"so it goes {edited} and on")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.contaminated(alone, bench).collect()] == [1]
+    assert decontam.without_copies(alone, bench).count() == 0
+    many = spark.createDataFrame([(i, f"so it goes {edited} and on") for i in range(200)] + [(200, " ".join(item))], "doc_id long, text string")
+    assert {r["doc_id"] for r in decontam.contaminated(many, bench).collect()} == set(range(201))
