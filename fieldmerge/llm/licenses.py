@@ -83,26 +83,43 @@ class Templates:
         self.index = GramTable(np.concatenate([*grams, none.astype(np.uint64)]), np.concatenate([*owner, none]), np.concatenate([*place, none]))
 
 
+def _places(query: np.ndarray, text: np.ndarray, first: int, end: int, low: int, high: int) -> list[tuple[int, int, int]]:
+    """(matched words, first word, end word) of the places in text[first:end] that hold enough of query, along the diagonals low to high."""
+    found, open_parts = [], [(first, end)]
+    while open_parts:
+        i, j = open_parts.pop()
+        if i >= j or np.isin(query, text[i:j]).sum() < COVERAGE * len(query):
+            continue
+        best = align(query, text[i:j], low - i, high - i)
+        if not best.matched:
+            continue
+        x, y = i + best.first[1], i + best.end[1]
+        if best.matched >= COVERAGE * len(query):
+            found.append((best.matched, x, y))
+        open_parts += [(i, x), (y, j)]
+    return found
+
+
 def spans_in(own: Templates, text: np.ndarray, at: np.ndarray, entries: np.ndarray) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, matched words, first word, end word) of the templates of which the text holds enough.
 
-    Hits of a template whose diagonals lie within its band make one candidate; the template is aligned with the text in
-    that band. A span of which more than half lies in one with more matching words (ties: the larger coverage, then the
+    Hits of a template whose diagonals lie within its band make one candidate, or several where they spread over more
+    diagonals than it has words; the template is aligned with the text in that band, then with what is left and right of
+    the place found, so that a repeated notice counts at each place. A span of which more than half lies in one with more matching words (ties: the larger coverage, then the
     first) isn't reported, so a notice counts for the template it is nearest to."""
     owner = own.index.owner[entries]
     diagonal = at - own.index.place[entries]
     order = np.lexsort((diagonal, owner))
     new = (np.diff(owner[order]) != 0) | (np.diff(diagonal[order]) > BAND_WORDS)
     spans: dict[int, list[tuple[int, int, int]]] = {}
-    for part in np.split(order, np.flatnonzero(new) + 1):
-        k = int(owner[part[0]])
+    for chain in np.split(order, np.flatnonzero(new) + 1):
+        k = int(owner[chain[0]])
         query = own.words[k]
         band = BAND_WORDS + int(BAND_PART * len(query))
-        first = max(0, int(diagonal[part].min()) - band)
-        end = min(len(text), int(diagonal[part].max()) + len(query) + band)
-        found = align(query, text[first:end], int(diagonal[part].min()) - first - band, int(diagonal[part].max()) - first + band)
-        if found.matched >= COVERAGE * len(query):
-            spans.setdefault(k, []).append((found.matched, first + found.first[1], first + found.end[1]))
+        pieces = (diagonal[chain] - diagonal[chain[0]]) // len(query)
+        for part in np.split(chain, np.flatnonzero(np.diff(pieces)) + 1):
+            low, high = int(diagonal[part].min()) - band, int(diagonal[part].max()) + band
+            spans.setdefault(k, []).extend(_places(query, text, max(0, low), min(len(text), high + len(query)), low, high))
     kept: list[tuple[int, int, int, int]] = []
     for m, i, j, k in sorted({(*span, k) for k, found in spans.items() for span in found}, key=lambda s: (-s[0], -s[0] / len(own.words[s[3]]), s[1:])):
         if all(2 * (min(j, other[2]) - max(i, other[1])) <= j - i for other in kept):

@@ -132,3 +132,21 @@ def test_edited_copies_need_no_rare_gram(spark):
     assert decontam.without_copies(alone, bench).count() == 0
     many = spark.createDataFrame([(i, f"so it goes {edited} and on") for i in range(200)] + [(200, " ".join(item))], "doc_id long, text string")
     assert {r["doc_id"] for r in decontam.contaminated(many, bench).collect()} == set(range(201))
+
+
+def test_repeated_notices_count_at_each_place():
+    own = licenses.Templates(licenses.TEMPLATES)
+
+    def spans(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        hashes, _, _, rows = licenses.words(data, np.array([0, len(data)]), licenses.PUNCTUATION)
+        grams, first, _ = licenses.word_grams(hashes, rows, licenses.GRAM)
+        hit, entries = own.index.find(grams)
+        return [(own.names[s[0]], *s[3:]) for s in licenses.spans_in(own, hashes, first[hit], entries)]
+
+    for notice, name in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), (licenses.TEMPLATES["MIT"][2], "MIT")):
+        n = len(re.findall(r"\w+", notice))
+        for between in ("", "and ", "one two three four five six "):
+            step = n + len(between.split())
+            for times in (2, 3, 50):
+                assert spans((notice + " " + between) * times) == [(name, i * step, i * step + n) for i in range(times)], (notice, between, times)
