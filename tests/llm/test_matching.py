@@ -134,19 +134,32 @@ def test_edited_copies_need_no_rare_gram(spark):
     assert {r["doc_id"] for r in decontam.contaminated(many, bench).collect()} == set(range(201))
 
 
-def test_repeated_notices_count_at_each_place():
-    own = licenses.Templates(licenses.TEMPLATES)
+def license_places(text, known):
+    own = licenses.Templates(known)
+    data = np.frombuffer(text.encode(), np.uint8)
+    hashes, _, _, rows = licenses.words(data, np.array([0, len(data)]), licenses.PUNCTUATION)
+    grams, first, _ = licenses.word_grams(hashes, rows, licenses.GRAM)
+    hit, entries = own.index.find(grams)
+    return [(own.names[s[0]], *s[3:]) for s in licenses.spans_in(own, hashes, first[hit], entries)] if len(hit) else []
 
-    def spans(text):
-        data = np.frombuffer(text.encode(), np.uint8)
-        hashes, _, _, rows = licenses.words(data, np.array([0, len(data)]), licenses.PUNCTUATION)
-        grams, first, _ = licenses.word_grams(hashes, rows, licenses.GRAM)
-        hit, entries = own.index.find(grams)
-        return [(own.names[s[0]], *s[3:]) for s in licenses.spans_in(own, hashes, first[hit], entries)]
 
+def test_repeated_notices_count_at_each_place():
     for notice, name in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), (licenses.TEMPLATES["MIT"][2], "MIT")):
         n = len(re.findall(r"\w+", notice))
         for between in ("", "and ", "one two three four five six "):
             step = n + len(between.split())
             for times in (2, 3, 50):
-                assert spans((notice + " " + between) * times) == [(name, i * step, i * step + n) for i in range(times)], (notice, between, times)
+                assert license_places((notice + " " + between) * times, licenses.TEMPLATES) == [(name, i * step, i * step + n) for i in range(times)], (notice, between, times)
+
+
+def test_licenses_are_told_apart_by_name_and_version():
+    known = licenses.TEMPLATES
+    short = {
+        "Licensed under the Mozilla Public License, Version 2.0": "MPL-2.0", "Licensed under the Eclipse Public License, Version 2.0": "EPL-2.0", "Licensed under the Apache License 2.0": "Apache-2.0",
+        "Released under the BSD License.": "BSD", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under the Made Up Public License, Version 2.0": None, "Released under the Foo License.": None,
+    }
+    for text, name in short.items():
+        assert [s[0] for s in license_places(f"First words. {text} and then more", known)] == ([name] if name else []), text
+    for name, texts in known.items():
+        for text in texts:
+            assert name in {s[0] for s in license_places(f"So {text} it is", known)}, text[:80]
