@@ -11,6 +11,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ def record(number: int | None, url: str | None, payload: bytes, digest: str, ref
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     name = re.sub(r"[\x00-\x20\x7f]+", " ", url or "").strip() or "about:blank"
+    name = re.sub("[\x85\u2028\u2029]", lambda c: quote(c[0]), name)  # other readers may take these for line ends
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if number is None else number}>", f"WARC-Target-URI: {name}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{payload_digest(block)}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -52,12 +54,16 @@ def _one(data: bytes, at: int) -> tuple[dict, bytes, int]:
     if stop < 0:
         raise ValueError("headers break off")
     gap = 4 if data[stop : stop + 4] == b"\r\n\r\n" else 2
-    headers = {}
-    for row in data[line.end() : stop].decode("utf-8", "replace").splitlines():
+    headers, last = {}, None
+    for row in re.split("\r?\n", data[line.end() : stop].decode("utf-8", "replace")) if stop > line.end() else []:
+        if row[:1] in (" ", "\t") and last is not None:  # a folded line goes on with the one before
+            headers[last] = f"{headers[last]} {row.strip()}".strip()
+            continue
         name, colon, value = row.partition(":")
         if not colon:
             raise ValueError("a header has no colon")
-        headers[name.strip().lower()] = value.strip()
+        last = name.strip().lower()
+        headers[last] = value.strip()
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         raise ValueError("no content length")
@@ -80,7 +86,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes, str]]:
 
     Gzip members (checked by their CRC) and plain records may be mixed. After a failed check the next offset is
     sought at which a whole member or record stands; the bytes between are one gap. A member that is whole but holds
-    a bad record is a gap of its own, less the records found within it."""
+    a bad record is a gap of its own, less the records found within it. Whole records before the damage of a
+    member are given before its gap, with start and end at the member's first byte."""
     at, bad, why = 0, None, ""
     while at < len(data):
         found, end = [], at
@@ -92,8 +99,14 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes, str]]:
                 headers, block, end = _one(data, at)
                 found = [("record", headers, block, "")]
         except (ValueError, zlib.error) as error:
+            rest = _before_damage(data, at) if data.startswith(_MAGIC, at) else []
+            if rest and bad is not None:
+                yield "gap", bad, at, {}, b"", why
+                bad = None
             if bad is None:
                 bad, why = at, str(error)
+            for headers, block in rest:
+                yield "record", at, at, headers, block, ""
             at = _next(data, at + 1)
             continue
         if bad is not None:
@@ -130,6 +143,33 @@ def _member(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), end - len(reader.unused_data)
 
 
+def _before_damage(data: bytes, at: int) -> list[tuple[dict, bytes]]:
+    """Headers and block of the whole records at the start of what a damaged gzip member still gives. What precedes a failed
+    check needs a block digest that holds; what precedes the end of the data doesn't."""
+    reader, parts, cut = zlib.decompressobj(31), [], True
+    for i in range(at, len(data), 65536):
+        before = reader.copy()
+        try:
+            parts.append(reader.decompress(data[i : i + 65536]))
+        except zlib.error:
+            cut = False
+            try:
+                for j in range(i, min(i + 65536, len(data))):
+                    parts.append(before.decompress(data[j : j + 1]))
+            except zlib.error:
+                break
+    found, text, place = [], b"".join(parts), 0
+    while place < len(text):
+        try:
+            headers, block, place = _one(text, place)
+        except ValueError:
+            break
+        if not text.startswith(b"WARC/", place) or not cut and not headers.get("warc-block-digest", "").lower().startswith("sha1:"):
+            break  # the damage may reach a record that none follows
+        found.append((headers, block))
+    return found
+
+
 def _next(data: bytes, at: int) -> int:
     """The next offset at which a member or a version line may begin."""
     member, line = data.find(_MAGIC, at), _VERSION.search(data, at)

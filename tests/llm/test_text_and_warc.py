@@ -64,3 +64,29 @@ def test_round_trip(spark, tmp_path):
     read = warc.read_archives(spark, str(path))
     assert warc.gaps(read).first()["n_bytes"] == 4
     assert warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_line_separators_in_urls_and_folded_headers():
+    for c in "\x85  ":
+        found = list(warc.salvage(warc.record(1, f"http://x/a{c}b", b"p", warc.payload_digest(b"p"), None)))
+        assert [f[0] for f in found] == ["record"] and found[0][3]["warc-target-uri"] == f"http://x/a{__import__('urllib.parse').parse.quote(c)}b"
+        other = f"WARC/1.0\r\nWARC-Type: resource\r\nX-Note: a{c}b\r\n  and\r\n\tmore\r\nContent-Length: 1\r\n\r\np\r\n\r\n".encode()
+        found = list(warc.salvage(other))
+        assert [f[0] for f in found] == ["record"] and found[0][3]["x-note"] == f"a{c}b and more"
+
+
+def test_records_before_damage_in_a_member():
+    import random
+    import zlib
+
+    payloads = [random.Random(i).randbytes(3000) for i in range(5)]
+    plain = b"".join(zlib.decompress(warc.record(i, f"http://x/{i}", p, warc.payload_digest(p), None), 31) for i, p in enumerate(payloads))
+    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+    member = packer.compress(plain) + packer.flush()
+    broken = bytearray(member)
+    broken[-1] ^= 0xFF
+    after = warc.record(9, "http://x/9", b"p", warc.payload_digest(b"p"), None)
+    for data, ids in ((member[: len(member) * 7 // 10], [0, 1, 2]), (member[: len(member) * 7 // 10] + after, [0, 1, 2, 9]), (bytes(broken), [0, 1, 2, 3])):
+        found = list(warc.salvage(data))
+        assert [f[3]["warc-record-id"] for f in found if f[0] == "record"] == [f"<urn:page:{i}>" for i in ids]
+        assert [f[0] for f in found].count("gap") == 1
