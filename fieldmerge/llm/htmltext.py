@@ -33,13 +33,19 @@ LEFT_OUT_NAMES = frozenset(
     " subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 
+#: How an element is left out; a mark doesn't hold on an element with a main element or more than this part of the page's content.
+NO, MARK, SURE, MOST = 0, 1, 2, 0.5
+COMMENT_NAMES = frozenset("comment comments comentarios commentaires kommentare disqus replies respond".split())
+TITLE_NAMES = frozenset("article entry post story".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、—¿¡»«]")
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element marks itself as something other than the article, and its name in a path."""
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
+    """How an element marks itself as something other than the article (NO, by a MARK of its name or as a form, SURE by
+    other tags and roles), and its name in a path."""
     names: list[str] = []
     if attributes.strip():
         for key, value in _ATTRIBUTE.findall(attributes):
@@ -47,15 +53,22 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
             if key in ("class", "id"):
                 names += re.split(r"[^a-z]+", value)
             elif key == "role" and value in LEFT_OUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                return True, tag
-    out = tag in LEFT_OUT_TAGS or tag == "header" and not in_article or tag not in ("html", "body", "article", "main") and not LEFT_OUT_NAMES.isdisjoint(names)
+                return SURE, tag
+    if tag in LEFT_OUT_TAGS and tag != "form" or tag == "header" and not in_article:
+        out = SURE
+    else:
+        out = MARK if tag == "form" or tag not in ("html", "body", "article", "main") and not LEFT_OUT_NAMES.isdisjoint(names) else NO
     return out, ".".join([tag, *sorted({n for n in names if n})])
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """(path, text, left out) of the page's text blocks in order. Text is decoded, its white space single spaces."""
-    found: list[tuple[tuple[str, ...], str, bool]] = []
-    path: list[tuple[str, str, bool]] = []  # tag, name, left out
+    """(path, text, left out) of the page's text blocks in order. Text is decoded, its white space single spaces.
+
+    A block is left out if an element around it is, for sure or by a mark that holds."""
+    found: list[tuple[tuple[str, ...], str, tuple[int, ...], bool]] = []
+    path: list[tuple[str, str, tuple[int, ...], bool]] = []  # tag, name, numbers of the marked elements from the root, surely left out
+    lifted, holders, comments, heads = set(), set(), set(), set()  # marked elements with a main element, with an article, of comments, and heads of articles
+    marks = 0
     text: list[str] = []
     at = 0
 
@@ -64,14 +77,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             whole = " ".join("".join(text).split())
             text.clear()
             if whole:
-                found.append((tuple(p[1] for p in path), whole, bool(path) and path[-1][2]))
+                found.append((tuple(p[1] for p in path), whole, path[-1][2] if path else (), bool(path) and path[-1][3]))
 
     while True:
         token = _TOKEN.search(page, at)
         if token is None:
             text.append(entities.unescape(page[at:]))
             flush()
-            return found
+            return _judged(found, lifted, holders, comments, heads)
         if token.start() > at:
             text.append(entities.unescape(page[at : token.start()]))
         at = token.end()
@@ -110,7 +123,39 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
         if tag == "body" and any(p[0] == "head" for p in path):
             del path[[p[0] for p in path].index("head") :]
         out, name = _left_out(tag, attributes, any(p[0] in ("article", "main") for p in path))
-        path.append((tag, name, out or bool(path) and path[-1][2]))
+        marked, sure = path[-1][2:] if path else ((), False)
+        if tag == "main" and not sure:
+            lifted.update(marked)
+        if tag == "article" and not sure:
+            holders.update(marked)
+        if out == MARK:
+            names = set(name.split(".")[1:])
+            listed = names & LEFT_OUT_NAMES
+            if listed & COMMENT_NAMES:
+                comments.add(marks)
+            if listed == {"header"} and (names & TITLE_NAMES or any(p[0] in ("article", "main") for p in path)):
+                heads.add(marks)
+            marked += (marks,)
+            marks += 1
+        path.append((tag, name, marked, sure or out == SURE))
+
+
+def _judged(found: list[tuple[tuple[str, ...], str, tuple[int, ...], bool]], lifted: set[int], holders: set[int], comments: set[int], heads: set[int]) -> list[tuple[tuple[str, ...], str, bool]]:
+    """The blocks with whether they are left out. A mark doesn't hold on an element with a main element or more than MOST of
+    the text in content paths outside of comments (on a page with an unmarked article: one that holds an article), nor that
+    of an article's head on its h1."""
+    rest = [(path, text, marked) for path, text, marked, sure in found if not sure and comments.isdisjoint(set(marked) - lifted)]
+    if any(marked for _, _, marked in rest):
+        content = set(content_paths([(path, text) for path, text, _ in rest]))
+        weight: dict[int, int] = {}
+        for path, text, marked in rest:
+            if path in content:
+                for m in (-1, *marked):
+                    weight[m] = weight.get(m, 0) + len(text)
+        plain = any(lifted.issuperset(marked) and any(x.split(".")[0] in ("article", "main") for x in path) for path, _, marked in rest)
+        lifted = lifted | {m for m, w in weight.items() if w > MOST * weight[-1] and (m in holders or not plain)}
+    is_head = lambda path: path[-1].split(".")[0] == "h1"
+    return [(path, text, sure or any(m not in lifted and not (m in heads and is_head(path)) for m in marked)) for path, text, marked, sure in found]
 
 
 def content_paths(kept: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, ...]]:
@@ -158,7 +203,7 @@ def main_text(page: str) -> str:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) for each row of pages (page_id, url, html); null html has empty text.
 
-    Markup without text, and pages all of whose text marks itself as something else, give the empty text. Broken markup
+    Markup without text, and pages all of whose text is surely something else (nav, footer, ...), give the empty text. Broken markup
     is read as far as it goes; a page is worked on whole, by itself. An empty table gives no rows."""
 
     def read(batches):

@@ -90,3 +90,20 @@ def test_records_before_damage_in_a_member():
         found = list(warc.salvage(data))
         assert [f[3]["warc-record-id"] for f in found if f[0] == "record"] == [f"<urn:page:{i}>" for i in ids]
         assert [f[0] for f in found].count("gap") == 1
+
+
+def test_wrappers_that_only_name_something_else():
+    body = f"<h1>Title</h1><p>{PARAGRAPH * 3}</p><p>{PARAGRAPH * 2}</p>"
+    text = f"Title {(PARAGRAPH * 3).strip()} {(PARAGRAPH * 2).strip()}"
+    inner = f"<article>{body}</article>"
+    comments = f"<div id=comments><article class=comment><p>{PARAGRAPH * 9}</p></article></div>"
+    related = "<div class=related-posts><article><p>Another story, in short.</p></article></div>"
+    for wrap in ("form id=aspnetForm", "div class='content with-sidebar'", "div class=has-sidebar", "div class=no-header", "div class='elementor-widget-text'"):
+        for html in (inner, body, inner + "<div class=sidebar><p>Aside, from it.</p></div>", inner + comments, inner + related, body + comments):
+            assert htmltext.main_text(page(html, wrap)) == text, (wrap, html[:20])
+        assert htmltext.main_text(page(inner, wrap, after=comments)) == text, wrap
+    for head in ("post-header", "entry-header"):
+        split = f"<div class={head}><h1>Title</h1><p>By me, today.</p></div><div class=text>{body[14:]}</div>"
+        assert htmltext.main_text(page(split)) == htmltext.main_text(page(split, "div")) == text, head
+    assert htmltext.main_text(page(body[14:], "div", "<div class=site-header><h1>Site</h1></div>")) == text[6:]
+    assert htmltext.main_text(page("<h1>Title</h1><p>Short.</p>", before=f"<div class=ad>{PARAGRAPH * 3}</div>")) == "Title Short."
