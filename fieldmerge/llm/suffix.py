@@ -3,7 +3,8 @@
 A window of `span` bytes is repeated if the same bytes start anywhere else, in any document. Each window names an anchor,
 the k-gram of least hash in it, so equal windows name equal anchors at equal places. Successive windows with one anchor
 make a slice. Slices meet by anchor; where an anchor occurs more than once, the slices' suffixes are sorted and windows
-with a common prefix of `span` bytes with a neighbour are repeated.
+with a common prefix of `span` bytes with a neighbour are repeated. Equal slices are sorted once; an anchor with very
+many different slices is split by more of the bytes around it first.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmerge.llm.common import BYTE_VALUE, as_long, prefix_sums, span_hash, text_blocks, text_buffer, written
+from fieldmerge.llm.common import BYTE_VALUE, as_long, mix, prefix_sums, span_hash, text_blocks, text_buffer, written
 
 SPAN, ANCHOR = 400, 48
-#: Slices are sorted together up to about so many bytes. An anchor with more different slices than MOST_SLICES is not
-#: sorted in one task: its windows are counted by hash over all tasks instead.
-SORT_BYTES, MOST_SLICES = 3 << 20, 4096
+#: Slices are sorted together up to about so many bytes. An anchor with more different slices than MOST_SLICES is split:
+#: its windows part into SPLIT groups by where the anchor stands in them, and meet by what all of a group have around it.
+SORT_BYTES, MOST_SLICES, SPLIT = 3 << 20, 2048, 8
+#: Text is cut into slices in blocks of about so many bytes, which stay in the processor's cache.
+SLICE_BLOCK = 1 << 18
+#: Before sorting, what two slices of an anchor have in common is found in steps of so many bytes.
+TRIM_STEP = 32
 
 
 def suffix_types(text: np.ndarray) -> np.ndarray:
@@ -50,6 +55,8 @@ def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray
     # a seed is known as one once the first byte that differs from its own has been seen
     differs = np.flatnonzero(text[1:] != text[:-1]) + 1
     known = np.append(differs, n)[np.searchsorted(differs, seeds, "right")]
+    before = np.zeros(n + 2, np.int32)  # seeds known before a place
+    before[1:] = np.cumsum(np.bincount(known, minlength=n + 1))
     first = word(seeds)
     order = np.argsort(first, kind="stable")
     rank = np.empty(len(seeds), np.int64)
@@ -72,7 +79,7 @@ def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray
         where = places[open_]
         members = order[where]
         reach = seeds[members] + deep[members]
-        inner = np.searchsorted(known, reach, "left") - 1
+        inner = before[np.minimum(reach, n + 1)].astype(np.int64) - 1
         stuck = inner <= members
         inner = np.maximum(inner, 0)
         key = rank[inner].astype(np.uint64)
@@ -171,12 +178,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 
 
 def repeated_windows(slices: list[bytes], copies: list[int], span: int) -> list[np.ndarray]:
-    """For each slice whether the window that starts at each of its places is repeated: among all slices, of which those
-    with more than one copy stand in the text twice."""
-    twice = [min(c, 2) for c in copies]
-    entries = [s for s, c in zip(slices, twice, strict=True) for _ in range(c)]
-    text = np.frombuffer(b"".join(entries), np.uint8)
-    sizes = np.array([len(s) for s in entries], np.int64)
+    """For each slice whether the window that starts at each of its places is repeated: all windows of a slice with more
+    than one copy, and those that stand in another slice or elsewhere in their own. Each slice is sorted once."""
+    text = np.frombuffer(b"".join(slices), np.uint8)
+    sizes = np.array([len(s) for s in slices], np.int64)
     starts = np.cumsum(sizes) - sizes
     window = np.zeros(len(text) + 1, np.int32)
     np.add.at(window, starts, 1)
@@ -189,8 +194,35 @@ def repeated_windows(slices: list[bytes], copies: list[int], span: int) -> list[
     again[:-1] |= equal[1:]
     marked = np.zeros(len(text), bool)
     marked[order[again]] = True
-    firsts = starts[np.cumsum(twice) - twice]
-    return [marked[a : a + len(s) - span + 1] for a, s in zip(firsts, slices, strict=True)]
+    return [marked[a : a + len(s) - span + 1] | (c > 1) for a, s, c in zip(starts, slices, copies, strict=True)]
+
+
+def trimmed(groups: np.ndarray, slices: list[bytes], at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each slice (of a group, with its anchor at `at`) the first and the end of those windows that can equal one of another
+    slice of its group.
+
+    Equal windows have the anchor at the same place, so they agree as far as each reaches to both sides of it. How far a
+    slice agrees with any other is found to TRIM_STEP bytes, by hashes of what stands left and right of the anchor."""
+    sizes = np.array([len(s) for s in slices], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    sums = prefix_sums(np.frombuffer(b"".join(slices), np.uint8), BYTE_VALUE)
+    anchor = starts + at
+    reach = []
+    for room, sign in ((at, -1), (sizes - at, 1)):
+        far = np.zeros(len(slices), np.int64)
+        for step in range(TRIM_STEP, span + 1, TRIM_STEP):
+            own = np.flatnonzero((room >= step) & (far == step - TRIM_STEP))
+            if not len(own):
+                break
+            ends = anchor[own] + sign * step
+            names = span_hash(sums, np.minimum(anchor[own], ends), np.maximum(anchor[own], ends)) ^ mix(groups[own])
+            _, back, count = np.unique(names, return_inverse=True, return_counts=True)
+            far[own[count[back] > 1]] = step
+        reach.append(np.minimum(room, far + TRIM_STEP - 1))
+    # the window at place p has at - p bytes left of the anchor and span - (at - p) from there on
+    first = np.maximum(0, at - reach[0])
+    end = np.minimum(sizes - span, at - span + reach[1]) + 1
+    return first, np.maximum(first, end)
 
 
 def _covered(starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,11 +234,11 @@ def _covered(starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices_of(data: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, anchor, hash of the slice, start in the row, length) of the slices of a block, in order of row and start."""
+    """(row, anchor, hash of the slice, start in the row, length, the anchor's place in it) of the slices of a block, in order of row and start."""
     n, w = len(data), span - k + 1
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     sums = prefix_sums(data, BYTE_VALUE)
     place = np.arange(n - k + 1)
     hashes = span_hash(sums, place, place + k)
@@ -221,28 +253,29 @@ def slices_of(data: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.n
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(least)]
     starts = np.flatnonzero(np.arange(len(least)) + span <= at[1:][row])
     if not len(starts):
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     anchor = (least[starts] & np.uint64((1 << 31) - 1)).astype(np.int64)
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)))
     first, last = starts[new], starts[np.append(new[1:] - 1, len(starts) - 1)]
-    return row[first], hashes[anchor[new]], span_hash(sums, first, last + span), first - at[row[first]], last + span - first
+    return row[first], hashes[anchor[new]], span_hash(sums, first, last + span), first - at[row[first]], last + span - first, anchor[new] - first
 
 
 def _slice_rows(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """anchor, print (hash of a slice), its length, and its starts in a document, for each document and different slice."""
+    """anchor, print (hash of a slice), its length, the anchor's place in it, and its starts in a document, for each document
+    and different slice."""
 
     def rows(batches):
         for b in batches:
-            for i, _, data, at in text_blocks(b.column(2)):
-                row, anchor, name, start, length = slices_of(data, at, span, k)
+            for i, _, data, at in text_blocks(b.column(2), SLICE_BLOCK):
+                row, anchor, name, start, length, place = slices_of(data, at, span, k)
                 order = np.lexsort((start, name, anchor, row))
-                row, anchor, name, start, length = (x[order] for x in (row, anchor, name, start, length))
+                row, anchor, name, start, length, place = (x[order] for x in (row, anchor, name, start, length, place))
                 new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1]))) if len(row) else row
                 own = pa.array(row[new] + i)
                 starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(start.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(as_long(anchor[new])), pa.array(as_long(name[new])), pa.array(length[new].astype(np.int32)), starts], ["id", "hash", "anchor", "print", "length", "starts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(as_long(anchor[new])), pa.array(as_long(name[new])), pa.array(length[new].astype(np.int32)), pa.array(place[new].astype(np.int32)), starts], ["id", "hash", "anchor", "print", "length", "at", "starts"])
 
-    return docs.mapInArrow(rows, "id long, hash long, anchor long, print long, length int, starts array<int>")
+    return docs.mapInArrow(rows, "id long, hash long, anchor long, print long, length int, at int, starts array<int>")
 
 
 _MARKS = "anchor long, print long, first array<int>, end array<int>"
@@ -255,45 +288,78 @@ def _marks(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatc
 
 
 def _sorted_marks(slices: DataFrame, span: int) -> DataFrame:
-    """The covered ranges of each slice (anchor, print, copies, bytes) by suffix sorting; each anchor is in one task."""
+    """The covered ranges of each slice (anchor, print, copies, at, bytes) by suffix sorting; each anchor is in one task."""
 
     def marks(batches):
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
         size = 0
 
         def done():
-            found = repeated_windows([x[3] for x in held], [x[2] for x in held], span)
-            ranges = [(x[0], x[1], *_covered(np.flatnonzero(m), span)) for x, m in zip(held, found, strict=True)]
+            anchors, prints, copies, at, texts = zip(*held, strict=True)
+            first, end = trimmed(np.array(anchors, np.int64).view(np.uint64), list(texts), np.array(at, np.int64), span)
+            kept = [i for i in range(len(held)) if first[i] < end[i]]
+            found = repeated_windows([texts[i][first[i] : end[i] - 1 + span] for i in kept], [1] * len(kept), span) if kept else []
+            ranges = [(anchors[i], prints[i], *_covered(np.flatnonzero(m) + first[i], span)) for i, m in zip(kept, found, strict=True) if copies[i] == 1]
+            ranges += [(a, p, np.array([0]), np.array([len(t)])) for a, p, c, t in zip(anchors, prints, copies, texts, strict=True) if c > 1]
             return _marks([x for x in ranges if len(x[2])])
 
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for x in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if size >= SORT_BYTES and x[0] != held[-1][0]:
                     yield done()
                     held, size = [], 0
                 held.append(x)
-                size += len(x[3]) * min(x[2], 2)
+                size += len(x[4])
         if held:
             yield done()
 
-    dealt = slices.select("anchor", "print", "copies", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = slices.select("anchor", "print", "copies", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(marks, _MARKS)
 
 
-def _counted_marks(slices: DataFrame, span: int) -> DataFrame:
-    """As _sorted_marks, for anchors with too many slices for one task: each window's hash is counted over all tasks."""
+def _split(slices: DataFrame, span: int, cell: int) -> DataFrame:
+    """The slices in pieces: of windows with the anchor at least i * cell and less than (i + 1) * cell bytes from their start, for
+    each i. All windows of such a group share the bytes around the anchor that name the piece's own anchor."""
+    names = ["of", "named", "shift", "anchor", "print", "copies", "at", "bytes"]
 
-    def windows(batches):
+    def pieces(batches):
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                at = np.arange(len(x[3]) - span + 1)
-                names = span_hash(prefix_sums(np.frombuffer(x[3], np.uint8), BYTE_VALUE), at, at + span)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), v, np.int64)) for v in x[:3]), pa.array(at.astype(np.int32)), pa.array(as_long(names))], ["anchor", "print", "copies", "place", "window"])
-
-    rows = slices.select("anchor", "print", "copies", "bytes").mapInArrow(windows, "anchor long, print long, copies long, place int, window long")
-    again = rows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    marked = rows.join(again, "window").groupBy("anchor", "print").agg(F.array_sort(F.collect_list("place")).alias("first"))
-    return marked.select("anchor", "print", "first", F.transform("first", lambda x: x + span).alias("end"))
+            for first in range(0, b.num_rows, 1024):
+                out = []
+                for anchor, name, copies, at, text in zip(*(c.to_pylist() for c in b.slice(first, 1024).columns), strict=True):
+                    sums = prefix_sums(np.frombuffer(text, np.uint8), BYTE_VALUE)
+                    nearest, farthest = at - (len(text) - span), at  # bytes from a window's start to the anchor
+                    for low in range(nearest // cell * cell, farthest + 1, cell):
+                        shift, end = at - min(farthest, low + cell - 1), at - max(nearest, low) + span
+                        ends = np.array([at - low, shift]), np.array([at - low - cell + 1 + span, end])
+                        whole = span_hash(sums, *ends)
+                        own = mix(whole[:1] ^ mix(np.array([low + 1], np.uint64) ^ np.array([anchor], np.int64).view(np.uint64)))
+                        out.append((anchor, name, shift, int(as_long(own)[0]), int(as_long(whole)[1]), copies, at - shift, text[shift:end]))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 8, kinds, strict=True)], names)
+
+    return slices.select("anchor", "print", "copies", "at", "bytes").mapInArrow(pieces, "of long, named long, shift int, anchor long, print long, copies long, at int, bytes binary")
+
+
+def _marks_of(slices: DataFrame, span: int, cell: int, most: int) -> DataFrame:
+    """The covered ranges of each slice (anchor, print, copies, at, bytes; a written table, one row for each anchor and print).
+
+    Anchors with more than `most` slices are split and their pieces, equal ones merged, taken the same way. The windows of
+    a piece of cell 1 are equal, so this ends."""
+    hot = slices.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor")
+    if cell == 1 or hot.isEmpty():
+        return _sorted_marks(slices, span)
+    hot = written(hot, "hot")
+    cell = -(-cell // SPLIT)
+    pieces = written(_split(slices.join(hot, "anchor", "left_semi"), span, cell), "pieces")
+    merged = pieces.groupBy("anchor", "print").agg(F.sum("copies").alias("copies"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
+    kinds = pieces.groupBy("anchor").agg((F.min("print") != F.max("print")).alias("many"))
+    merged = written(merged.join(kinds, "anchor"), "merged")
+    whole = merged.where("not many and copies > 1").select("anchor", "print", F.array(F.lit(0)).alias("first"), F.array(F.octet_length("bytes")).alias("end"))
+    marks = whole.union(_marks_of(written(merged.where("many").drop("many"), "split"), span, cell, most))
+    back = pieces.select("of", "named", "shift", "anchor", "print").join(marks, ["anchor", "print"])
+    back = back.select(F.col("of").alias("anchor"), F.col("named").alias("print"), *(F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("first", "end")))
+    return _sorted_marks(slices.join(hot, "anchor", "left_anti"), span).union(back)
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, k: int | None = None, most_slices: int = MOST_SLICES) -> DataFrame:
@@ -307,12 +373,11 @@ def without_repeats(docs: DataFrame, span: int = SPAN, k: int | None = None, mos
     text = docs["text"].cast("string")
     keyed = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     rows = written(_slice_rows(keyed, span, k), "slices")
-    often = rows.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("anchor")
-    members = written(rows.join(often, "anchor"), "members")
-    distinct = members.groupBy("anchor", "print").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("id", "hash", F.col("starts")[0].alias("start"), "length")).alias("one"))
+    kinds = rows.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n"), (F.min("print") != F.max("print")).alias("many")).where("n > 1").select("anchor", "many")
+    members = written(rows.join(kinds, "anchor"), "members")
+    distinct = members.where("many").groupBy("anchor", "print").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("id", "hash", F.col("starts")[0].alias("start"), "length", "at")).alias("one"))
     distinct = distinct.select("anchor", "print", "copies", "one.*")
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("slices"))
-    wanted = distinct.join(sizes, "anchor").groupBy("id", "hash").agg(F.collect_list(F.struct("start", "length", "anchor", "print", "copies", (F.col("slices") > most_slices).alias("many"))).alias("slices"))
+    wanted = distinct.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "length", "anchor", "print", "copies", "at")).alias("slices"))
     wanted = wanted.select(F.col("id").alias("of"), F.col("hash").alias("named"), "slices")
 
     def cut(batches):
@@ -322,19 +387,20 @@ def without_repeats(docs: DataFrame, span: int = SPAN, k: int | None = None, mos
             for i, own in enumerate(b.column(1)):
                 for s in own.as_py():
                     first = int(at[i]) + s["start"]
-                    held.append((s["anchor"], s["print"], s["copies"], s["many"], data[first : first + s["length"]].tobytes()))
+                    held.append((s["anchor"], s["print"], s["copies"], s["at"], data[first : first + s["length"]].tobytes()))
                     size += s["length"]
                 if held and (size > 4 << 20 or i == b.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["anchor", "print", "copies", "many", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "print", "copies", "at", "bytes"])
                     held, size = [], 0
 
     same = keyed["id"].eqNullSafe(wanted["of"]) & (keyed["hash"] == wanted["named"])
-    slices = written(keyed.join(wanted, same).select("text", "slices").mapInArrow(cut, "anchor long, print long, copies long, many boolean, bytes binary").dropDuplicates(["anchor", "print"]), "bytes")
-    marks = _sorted_marks(slices.where("not many"), span)
-    if not slices.where("many").isEmpty():
-        marks = marks.union(_counted_marks(slices.where("many"), span))
-    found = members.select("id", "hash", "anchor", "print", "starts").join(written(marks, "marks"), ["anchor", "print"])
-    ranges = found.groupBy("id", "hash").agg(F.collect_list(F.struct("starts", "first", "end")).alias("ranges")).select(F.col("id").alias("of"), F.col("hash").alias("named"), "ranges")
+    slices = written(keyed.join(wanted, same).select("text", "slices").mapInArrow(cut, "anchor long, print long, copies long, at int, bytes binary").dropDuplicates(["anchor", "print"]), "bytes")
+    marks = written(_marks_of(slices, span, span - k + 1, most_slices), "marks")
+    found = members.where("many").select("id", "hash", "anchor", "print", "starts").join(marks, ["anchor", "print"]).select("id", "hash", "starts", "first", "end")
+    # an anchor with one slice only: all of its copies are repeated
+    whole = members.where("not many").select("id", "hash", "starts", F.array(F.lit(0)).alias("first"), F.array("length").alias("end"))
+    # rows of equal doc_id and text have the same ranges: a set, so that these count once
+    ranges = found.union(whole).groupBy("id", "hash").agg(F.collect_set(F.struct("starts", "first", "end")).alias("ranges")).select(F.col("id").alias("of"), F.col("hash").alias("named"), "ranges")
 
     def finish(batches):
         for b in batches:

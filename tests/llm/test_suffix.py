@@ -52,14 +52,38 @@ def test_against_brute_force(spark):
         cut = rnd.randint(0, len(own))
         texts.append(own[:cut] + (passage[rnd.randint(0, 20) :] if i % 3 else "") + own[cut:])
     texts += [texts[10], texts[11], texts[12][:60] + "!" + texts[12][61:]]
-    rows = [(None if i == 7 else 5 if i in (8, 9) else i, t, "clash") for i, t in enumerate(texts)] * 1
+    rows = [(None if i == 7 else 5 if i in (8, 9) else i, t, "clash") for i, t in enumerate(texts)]
+    rows += [rows[13]] * 3 + [rows[7]] * 2  # rows that can't be told apart
     docs = spark.createDataFrame(rows, "doc_id long, text string, hash string")
-    expected = sorted(brute([(t or "").encode() for t in texts], 40))
+    expected = sorted(brute([(t or "").encode() for _, t, _ in rows], 40))
     for most in (suffix.MOST_SLICES, 1):
         out = suffix.without_repeats(docs, span=40, most_slices=most).collect()
         assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == expected
         assert sorted(map(str, (r["doc_id"] for r in out))) == sorted(str(r[0]) for r in rows)
 
 
+def test_trimmed_keeps_what_is_repeated():
+    rnd = random.Random(5)
+    for _ in range(40):
+        span, anchor = 100, bytes(rnd.choice(b"xyz") for _ in range(12))
+        left, right = (bytes(rnd.choice(b"ab") for _ in range(100)) for _ in range(2))
+        slices, at = [], []
+        for _ in range(rnd.randint(2, 6)):
+            far, near = rnd.randint(0, 88), rnd.randint(0, 88)
+            far, near = max(far, near), min(far, near)  # bytes from a window's start to the anchor
+            a, b = bytearray(left), bytearray(right)
+            for part in (a, b):
+                if rnd.random() < 0.7:
+                    part[rnd.randrange(100)] = ord("!")
+            slices.append(bytes(a[100 - far :] + anchor + b)[: far - near + span])
+            at.append(far)
+        assert all(len(s) >= span for s in slices)
+        copies = [1] * len(slices)
+        whole = suffix.repeated_windows(slices, copies, span)
+        first, end = suffix.trimmed(np.full(len(slices), 9, np.uint64), slices, np.array(at), span)
+        for marks, i, j in zip(whole, first, end, strict=True):
+            assert not marks[:i].any() and not marks[j:].any()
+
+
 def test_empty_table(spark):
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
