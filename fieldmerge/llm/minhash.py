@@ -17,12 +17,12 @@ SHINGLE, LINK = 5, (75, 100)
 #: A signature has BANDS x ROWS slots: a pair of similarity 0.75 shares no band with probability 6e-6.
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Pairs whose signatures agree less are not verified: 5 standard deviations below a similarity of 0.75.
-LEAST_AGREEMENT = 0.55
+#: Pairs whose signatures agree less are not verified: 7.8 standard deviations below a similarity of 0.75.
+LEAST_AGREEMENT = 0.45
 #: What one task's union-find takes (some 50 MB).
 FEW_EDGES = 200_000
-#: Documents of a bucket or a family are compared in blocks of so many.
-BUCKET_BLOCK = 2048
+#: Documents of a bucket or a family are compared in blocks of so many, and of so many shingles (8 bytes each).
+BUCKET_BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
 
 _RANK, _SLOT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -88,20 +88,31 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), two 64-bit sums of the set that name its class, the signature (null if the set is empty) and
-    brief, the lowest byte of each of its slots, which is enough to compare."""
+    """doc_id, n (set size), two 64-bit sums of the set that name its class, and the signature (null if the set is empty).
+
+    Of the rows of a block with one set, only that of the least doc_id has the signature: no other can be the class's
+    first, and copies needn't carry it through the shuffle."""
 
     def rows(batches):
         for b in batches:
             for i, end, data, at in text_blocks(b.column(1)):
                 sets, offsets = shingle_sets(data, at)
                 both = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x)))[offsets] for x in (sets, mix(sets))]
-                signed = signatures(sets, offsets)
                 n = np.diff(offsets)
                 named = [as_long(x[1:] - x[:-1]) for x in both]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, end - i), pa.array(n), pa.array(named[0]), pa.array(named[1]), *(pa.array([s.tobytes() if k else None for s, k in zip(x, n, strict=True)], pa.binary()) for x in (signed, signed.astype(np.uint8)))], ["doc_id", "n", "set1", "set2", "signature", "brief"])
+                ids = b.column(0).slice(i, end - i)
+                order = np.lexsort((np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), n, *named))
+                first = np.ones(len(order), bool)
+                first[1:] = (n[order][1:] != n[order][:-1]) | (named[0][order][1:] != named[0][order][:-1]) | (named[1][order][1:] != named[1][order][:-1])
+                leads = np.sort(order[first & (n[order] > 0)])
+                own = np.concatenate([sets[offsets[r] : offsets[r + 1]] for r in leads] + [sets[:0]])
+                signed = signatures(own, np.concatenate(([0], np.cumsum(n[leads]))))
+                held: list[bytes | None] = [None] * len(n)
+                for r, x in zip(leads.tolist(), signed, strict=True):
+                    held[r] = x.tobytes()
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(named[0]), pa.array(named[1]), pa.array(held, pa.binary())], ["doc_id", "n", "set1", "set2", "signature"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(rows, "doc_id long, n long, set1 long, set2 long, signature binary, brief binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(rows, "doc_id long, n long, set1 long, set2 long, signature binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -118,6 +129,16 @@ def _briefs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint8).reshape(len(column), SLOTS)
 
 
+def _briefly(classes: DataFrame) -> DataFrame:
+    """id and brief, the lowest byte of each slot of the signature, which is enough to compare."""
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint8).tobytes() for x in b.column(1)], pa.binary())], ["id", "brief"])
+
+    return classes.select("id", "signature").mapInArrow(rows, "id long, brief binary")
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those whose signatures agree enough."""
 
@@ -133,11 +154,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return signed.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
 
 
-def _linked(families: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) within the families (id, component), decided on full shingle sets: a spanning forest of each block.
-
-    A family is dealt into blocks; each pair of blocks meets in a task that holds these two only. A pair is looked at if
-    it isn't joined by links of this task already and its signatures don't rule it out; nothing but links comes out."""
+def _members(families: DataFrame, docs: DataFrame) -> DataFrame:
+    """component, id, members (the full set), brief and n for each document (id) of the families (id, component)."""
 
     def sets(batches):
         for b in batches:
@@ -145,49 +163,113 @@ def _linked(families: DataFrame, docs: DataFrame) -> DataFrame:
                 found, offsets = shingle_sets(data, at)
                 briefs = signatures(found, offsets).astype(np.uint8)
                 own = [found[offsets[r] : offsets[r + 1]] for r in range(end - i)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, end - i), pa.array([int(x.sum().view(np.int64)) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in briefs], pa.binary())], ["id", "name", "members", "brief"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, end - i), pa.array([int(x.sum().view(np.int64)) for x in own], pa.int64()), pa.array(np.diff(offsets)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in briefs], pa.binary())], ["id", "name", "n", "members", "brief"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).join(families.select("id"), "id", "left_semi")
     # rows of one doc_id and text give one set
-    members = texts.mapInArrow(sets, "id long, name long, members binary, brief binary").dropDuplicates(["id", "name"])
-    sizes = families.groupBy("component").agg(F.count("*").alias("size"))
-    rows = members.join(families.join(sizes, "component"), "id").select("component", "id", "members", "brief", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = texts.mapInArrow(sets, "id long, name long, n long, members binary, brief binary").dropDuplicates(["id", "name"])
+    return members.join(families, "id").select("component", "id", "members", "brief", "n")
+
+
+def _blocks(rows: DataFrame, of: list[str], name: str) -> DataFrame:
+    """Into how many blocks the rows (n: shingles) of each group are dealt."""
+    parts = F.greatest(F.ceil(F.count("*") / BUCKET_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return rows.groupBy(*of).agg(parts.alias(name))
+
+
+def _joined_by_sets(held: list[pa.RecordBatch], pairs) -> pa.RecordBatch:
+    """Links (a, b) among the rows (id, label, members, brief), decided on full sets: a spanning forest of them.
+
+    pairs gives (row, other rows) to look at. A pair is skipped if its labels are joined already, or if its sizes or its
+    signatures rule it out."""
+    whole = pa.Table.from_batches(held)
+    ids, labels = np.asarray(whole["id"]), np.asarray(whole["label"])
+    briefs = _briefs(whole["brief"].combine_chunks())
+    full = [np.frombuffer(x.as_buffer(), np.uint64) for x in whole["members"]]
+    sizes = np.array([len(x) for x in full])
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    links = []
+    for i, others in pairs(whole):
+        agreed = (briefs[others] == briefs[i]).sum(axis=1)
+        near = (agreed >= LEAST_AGREEMENT * SLOTS) & (labels[others] != labels[i]) & (LINK[1] * np.minimum(sizes[others], sizes[i]) >= LINK[0] * np.maximum(sizes[others], sizes[i]))
+        for j in others[near][np.argsort(-agreed[near], kind="stable")].tolist():
+            a, b = root(int(labels[i])), root(int(labels[j]))
+            if a == b:
+                continue
+            both = len(np.intersect1d(full[i], full[j], assume_unique=True))
+            if LINK[1] * both >= LINK[0] * (sizes[i] + sizes[j] - both):
+                up[max(a, b)] = min(a, b)
+                links.append((int(ids[i]), int(ids[j])))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _within_blocks(members: DataFrame) -> DataFrame:
+    """Links (a, b) between the members (component, id, members, brief, n) of a block of a family; each row is sent once."""
+    dealt = members.join(_blocks(members, ["component"], "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    order = ["component", "block"]
+
+    def compare(held):
+        yield _joined_by_sets(held, lambda whole: ((i, np.arange(i + 1, whole.num_rows)) for i in range(whole.num_rows)))
+
+    rows = dealt.select(*order, "id", F.col("id").alias("label"), "members", "brief")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_by_key(order, compare), "a long, b long")
+
+
+def _across_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of a family that labels (id, label) keep apart: those outside of the label with the
+    most members ask, and each block of asking ones meets each block of the family in a task that holds these two only."""
+    rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    counted = rows.groupBy("component", "label").agg(F.count("*").alias("size"))
+    main = counted.groupBy("component").agg(F.max(F.struct("size", "label")).getField("label").alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    rows = written(rows.join(main, "component").withColumn("asks", F.col("label") != F.col("main")), "apart")
+    blocks = _blocks(rows, ["component"], "blocks").join(_blocks(rows.where("asks"), ["component"], "asking"), "component")
+    rows = rows.join(blocks, "component")
     order = ["component", "q", "r"]
-    dealt = dealt.select("component", F.least("own", "other").alias("q"), F.greatest("own", "other").alias("r"), "own", "id", "members", "brief")
+    rest = ["id", "label", "members", "brief"]
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.select("component", every("asking").alias("q"), own("blocks").alias("r"), F.lit(False).alias("asks"), *rest)
+    asking = rows.where("asks").select("component", own("asking").alias("q"), every("blocks").alias("r"), "asks", *rest)
 
     def compare(held):
-        whole = pa.Table.from_batches(held)
-        ids, side = np.asarray(whole["id"]), np.asarray(whole["own"])
-        briefs = _briefs(whole["brief"].combine_chunks())
-        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in whole["members"]]
-        sizes = np.array([len(x) for x in full])
-        up: dict[int, int] = {}
+        def pairs(whole):
+            asks = np.asarray(whole["asks"].combine_chunks().to_numpy(zero_copy_only=False), bool)
+            others = np.flatnonzero(~asks)
+            return ((i, others) for i in np.flatnonzero(asks)) if len(others) else ()
 
-        def root(x):
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
+        yield _joined_by_sets(held, pairs)
+
+    return asked.union(asking).repartition(*order).sortWithinPartitions(*order).mapInArrow(_by_key(order, compare), "a long, b long")
 
-        links = []
-        q = int(whole["q"][0].as_py())
-        apart = q != whole["r"][0].as_py()
-        for i in np.flatnonzero(side == q):
-            others = np.flatnonzero(side != q) if apart else np.arange(i + 1, len(ids))
-            agreed = (briefs[others] == briefs[i]).sum(axis=1)
-            near = (agreed >= LEAST_AGREEMENT * SLOTS) & (LINK[1] * np.minimum(sizes[others], sizes[i]) >= LINK[0] * np.maximum(sizes[others], sizes[i]))
-            for j in others[near][np.argsort(-agreed[near], kind="stable")].tolist():
-                a, b = root(int(ids[i])), root(int(ids[j]))
-                if a == b:
-                    continue
-                both = len(np.intersect1d(full[i], full[j], assume_unique=True))
-                if LINK[1] * both >= LINK[0] * (sizes[i] + sizes[j] - both):
-                    up[max(a, b)] = min(a, b)
-                    links.append((int(ids[i]), int(ids[j])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_by_key(order, compare), "a long, b long")
+
+def _linked(families: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, component): the components of the links within the families (id, component), decided on full shingle sets.
+
+    Families of one block are compared there. Of larger ones the blocks are, then one document of each component found in
+    a block stands for it in the next round, until all fit one block or a round joins nothing. What is then still apart in
+    such a family is compared in full: so no pair that the signatures allow is left out, and where nearly all of a large
+    family is one component, each document is sent a few times at most."""
+    members = written(_members(families, docs), "sets")
+    large = written(_blocks(members, ["component"], "blocks").where("blocks > 1").select("component"), "large")
+    links = written(_within_blocks(members), "links")
+    if large.isEmpty():
+        return components(links)
+    inside = members.join(large, "component", "left_semi")
+    for _ in range(8):
+        labels = written(components(links).select("id", F.col("component").alias("label")), "labels")
+        first = inside.join(labels, "id", "left").where("label is null or label = id").drop("label")
+        more = written(_within_blocks(first), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+    apart = written(_across_blocks(inside, labels), "links")
+    return components(links.union(apart))
 
 
 def _by_key(order: list[str], work):
@@ -214,16 +296,18 @@ def _by_key(order: list[str], work):
 
 
 def _within_buckets(rows: DataFrame) -> DataFrame:
-    """Pairs of agreeing documents of one bucket and different components, for those rows that ask: of each other component
-    the one that agrees most.
-
-    rows: band, id, component, asks, size (of the bucket), brief. A bucket is dealt into blocks; a block of asking rows
-    meets each block of the bucket in a task that holds these two blocks only."""
-    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asked = rows.select("band", F.explode(every).alias("q"), F.col("own").alias("r"), F.lit(False).alias("asks"), "id", "component", "brief")
-    asking = rows.where("asks").select("band", F.col("own").alias("q"), F.explode(every).alias("r"), "asks", "id", "component", "brief")
+    """Pairs of agreeing documents of one bucket and different components, for those rows that ask: a spanning forest of
+    them in each task.
+
+    rows: band, id, component, asks, brief. A bucket is dealt into blocks; a block of asking rows meets each block of the
+    bucket in a task that holds these two blocks only."""
+    blocks = lambda c: F.ceil(F.sum(c) / BUCKET_BLOCK).cast("int")
+    sizes = rows.groupBy("band").agg(blocks(F.lit(1)).alias("blocks"), blocks(F.col("asks").cast("int")).alias("asking"))
+    rows = rows.join(written(sizes, "sizes"), "band")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.select("band", every("asking").alias("q"), own("blocks").alias("r"), F.lit(False).alias("asks"), "id", "component", "brief")
+    asking = rows.where("asks").select("band", own("asking").alias("q"), every("blocks").alias("r"), "asks", "id", "component", "brief")
     order = ["band", "q", "r"]
 
     def compare(held):
@@ -234,17 +318,15 @@ def _within_buckets(rows: DataFrame) -> DataFrame:
         ids, parts = np.asarray(whole["id"]), np.asarray(whole["component"])
         briefs = _briefs(whole["brief"].combine_chunks())
         others = np.flatnonzero(~asks)
-        pairs: list[np.ndarray] = []
+        names, at = np.unique(parts, return_inverse=True)
+        label = np.arange(len(names))  # of each component, what it is joined to
+        pairs = []
         for i in np.flatnonzero(asks):
-            agreed = (briefs[others] == briefs[i]).sum(axis=1)
-            near = (agreed >= LEAST_AGREEMENT * SLOTS) & (parts[others] != parts[i])
-            hit = others[near][np.lexsort((ids[others[near]], -agreed[near], parts[others[near]]))]
-            if len(hit):
-                hit = hit[np.append(True, parts[hit][1:] != parts[hit][:-1])]
-                pairs.append(np.stack([np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])]))
-        if pairs:
-            a, b = np.concatenate(pairs, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            near = others[((briefs[others] == briefs[i]).sum(axis=1) >= LEAST_AGREEMENT * SLOTS) & (label[at[others]] != label[at[i]])]
+            for j in near[np.unique(label[at[near]], return_index=True)[1]]:
+                pairs.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                label[label == label[at[j]]] = label[at[i]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return asked.union(asking).repartition(*order).sortWithinPartitions(*order).mapInArrow(_by_key(order, compare), "a long, b long")
 
@@ -321,23 +403,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     families join that have an agreeing pair. So each pair that shares a band and agrees is in one family, and within
     families links are decided on full sets."""
     base = written(shingled(docs), "shingled")
-    names = base.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("id"))
-    members = written(base.where("n > 0").join(names, ["set1", "set2", "n"]).select("doc_id", "n", "id", *(F.when(F.col("doc_id") == F.col("id"), F.col(c)).alias(c) for c in ("signature", "brief"))), "members")
-    classes = written(members.where("signature is not null").dropDuplicates(["id", "signature"]).select("id", "signature", "brief"), "classes")
+    # the class table has rows for classes of two documents or more only, and is written, so that Spark splits a large class in the join
+    names = base.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    joined = base.where("n > 0").join(written(names, "names"), ["set1", "set2", "n"], "left")
+    alone = F.col("id").isNull() & F.col("doc_id").isNotNull()
+    lead = F.col("doc_id") == F.col("id")
+    members = joined.withColumn("id", F.when(alone, F.col("doc_id")).otherwise(F.col("id"))).select("doc_id", "n", "id", F.when(lead, F.col("signature")).alias("signature"))
+    members = written(members, "members")
+    classes = written(members.where("signature is not null").dropDuplicates(["id", "signature"]).select("id", "n", "signature"), "classes")
+    briefs = written(_briefly(classes), "briefs")
     bands = written(_banded(classes), "bands")
-    buckets = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    buckets = written(bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets")
     shared = written(bands.join(buckets, "band"), "shared")
     stars = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    near = written(_agreeing(stars, classes), "agreeing")
+    near = written(_agreeing(stars, briefs), "agreeing")
     families = components(near)
-    placed = shared.join(families, "id", "left").select("band", "id", "size", "first", F.coalesce("component", "id").alias("component"))
+    placed = written(shared.join(families, "id", "left").select("band", "id", "first", F.coalesce("component", "id").alias("component")), "placed")
     main = F.max(F.when(F.col("id") == F.col("first"), F.col("component"))).alias("main")
-    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), main).where("low <> high")
-    rows = placed.join(open_.select("band", "main"), "band").select("band", "id", "component", (F.col("component") != F.col("main")).alias("asks"), "size")
-    more = written(_within_buckets(rows.join(classes.select("id", "brief"), "id")), "within")
+    open_ = written(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), main).where("low <> high").select("band", "main"), "open")
+    rows = placed.join(open_, "band").select("band", "id", "component", (F.col("component") != F.col("main")).alias("asks"))
+    more = written(_within_buckets(written(rows.join(briefs, "id"), "asking")), "within")
     if not more.isEmpty():
         families = components(near.union(more))
-    found = components(_linked(families, docs))
+    found = _linked(families, docs)
     grouped = members.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     alone = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

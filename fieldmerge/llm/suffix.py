@@ -1,10 +1,11 @@
 """Exact substring dedup with suffix arrays sorted in two stages.
 
-A window of `span` bytes is repeated if the same bytes start anywhere else, in any document. Each window names an anchor,
-the k-gram of least hash in it, so equal windows name equal anchors at equal places. Successive windows with one anchor
-make a slice. Slices meet by anchor; where an anchor occurs more than once, the slices' suffixes are sorted and windows
-with a common prefix of `span` bytes with a neighbour are repeated. Equal slices are sorted once; an anchor with very
-many different slices is split by more of the bytes around it first.
+A window of `span` bytes is repeated if the same bytes start anywhere else, in any document; shorter ones of `least` bytes
+tell which passages documents share. Each window of `least` bytes names an anchor, the k-gram of least hash in it, so
+equal windows name equal anchors at equal places. Successive windows with one anchor make a slice, with the bytes up to
+`span` behind each. Slices meet by anchor; where an anchor occurs more than once, the slices' suffixes are sorted, and
+common prefixes with the neighbours tell the repeated windows. Equal slices are sorted once; an anchor with very many
+different slices is split by more of the bytes around it first.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmerge.llm.common import BYTE_VALUE, as_long, mix, prefix_sums, span_hash, text_blocks, text_buffer, written
+from fieldmerge.llm.common import BYTE_VALUE, as_long, mix, prefix_sums, span_hash, text_blocks, text_buffer, words, written
 
-SPAN, ANCHOR = 400, 48
+#: A shared passage is looked for by windows of LEAST bytes, and reported if it has PASSAGE_WORDS words.
+SPAN, LEAST, ANCHOR, PASSAGE_WORDS = 400, 256, 48, 51
 #: Slices are sorted together up to about so many bytes. An anchor with more different slices than MOST_SLICES is split:
 #: its windows part into SPLIT groups by where the anchor stands in them, and meet by what all of a group have around it.
 SORT_BYTES, MOST_SLICES, SPLIT = 3 << 20, 2048, 8
@@ -177,29 +179,35 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return np.minimum(np.minimum(found, most), beyond)
 
 
-def repeated_windows(slices: list[bytes], copies: list[int], span: int) -> list[np.ndarray]:
-    """For each slice whether the window that starts at each of its places is repeated: all windows of a slice with more
-    than one copy, and those that stand in another slice or elsewhere in their own. Each slice is sorted once."""
+def repeated_windows(slices: list[bytes], wins: list[int], cross: list[bool], low: list[int], high: list[int], span: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each slice and each of its first `wins` places: whether the window of span bytes there also stands in another
+    slice, and whether the window of least bytes there stands in two documents. low, high: the least and largest name of
+    the documents that hold the slice; cross: whether there are two of them (of which names may be equal)."""
     text = np.frombuffer(b"".join(slices), np.uint8)
-    sizes = np.array([len(s) for s in slices], np.int64)
+    sizes, wins_ = np.array([len(s) for s in slices], np.int64), np.array(wins, np.int64)
     starts = np.cumsum(sizes) - sizes
-    window = np.zeros(len(text) + 1, np.int32)
-    np.add.at(window, starts, 1)
-    np.add.at(window, starts + np.maximum(sizes - span + 1, 0), -1)
-    window = np.cumsum(window[:-1]) > 0
     order = suffix_array(text, span)
-    order = order[window[order]]
-    equal = common_prefixes(text, order, span) >= span
-    again = equal.copy()
-    again[:-1] |= equal[1:]
-    marked = np.zeros(len(text), bool)
-    marked[order[again]] = True
-    return [marked[a : a + len(s) - span + 1] | (c > 1) for a, s, c in zip(starts, slices, copies, strict=True)]
-
-
-def trimmed(groups: np.ndarray, slices: list[bytes], at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each slice (of a group, with its anchor at `at`) the first and the end of those windows that can equal one of another
-    slice of its group.
+    owner = np.repeat(np.arange(len(slices)), sizes)
+    place = np.arange(len(text)) - np.repeat(starts, sizes)
+    order = order[(place < wins_[owner])[order]]
+    of = owner[order]
+    common = common_prefixes(text, order, span)
+    marked = np.zeros((2, len(text)), bool)
+    run = np.flatnonzero(common < span)  # runs of windows with equal bytes
+    whole = place[order] + span <= sizes[of]
+    if len(order):
+        again = np.repeat(np.add.reduceat(whole.astype(np.int64), run) > 1, np.diff(np.append(run, len(order))))
+        marked[0][order[again & whole]] = True
+        run = np.flatnonzero(common < least)
+        shared = np.maximum.reduceat(np.array(cross, bool)[of], run)
+        shared |= np.minimum.reduceat(np.array(low, np.int64)[of], run) != np.maximum.reduceat(np.array(high, np.int64)[of], run)
+        marked[1][order[np.repeat(shared, np.diff(np.append(run, len(order))))]] = True
+    return [(marked[0][a : a + n], marked[1][a : a + n]) for a, n in zip(starts, wins, strict=True)]
+
+
+def trimmed(groups: np.ndarray, slices: list[bytes], at: np.ndarray, wins: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each slice (of a group, with its anchor at `at`) the first and the end of those of its windows of least bytes that
+    can equal one of another slice of its group.
 
     Equal windows have the anchor at the same place, so they agree as far as each reaches to both sides of it. How far a
     slice agrees with any other is found to TRIM_STEP bytes, by hashes of what stands left and right of the anchor."""
@@ -210,7 +218,7 @@ def trimmed(groups: np.ndarray, slices: list[bytes], at: np.ndarray, span: int)
     reach = []
     for room, sign in ((at, -1), (sizes - at, 1)):
         far = np.zeros(len(slices), np.int64)
-        for step in range(TRIM_STEP, span + 1, TRIM_STEP):
+        for step in range(TRIM_STEP, least + 1, TRIM_STEP):
             own = np.flatnonzero((room >= step) & (far == step - TRIM_STEP))
             if not len(own):
                 break
@@ -219,9 +227,9 @@ def trimmed(groups: np.ndarray, slices: list[bytes], at: np.ndarray, span: int)
             _, back, count = np.unique(names, return_inverse=True, return_counts=True)
             far[own[count[back] > 1]] = step
         reach.append(np.minimum(room, far + TRIM_STEP - 1))
-    # the window at place p has at - p bytes left of the anchor and span - (at - p) from there on
+    # the window at place p has at - p bytes left of the anchor and least - (at - p) from there on
     first = np.maximum(0, at - reach[0])
-    end = np.minimum(sizes - span, at - span + reach[1]) + 1
+    end = np.minimum(wins, at - least + reach[1] + 1)
     return first, np.maximum(first, end)
 
 
@@ -233,151 +241,200 @@ def _covered(starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + span
 
 
-def slices_of(data: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, anchor, hash of the slice, start in the row, length, the anchor's place in it) of the slices of a block, in order of row and start."""
-    n, w = len(data), span - k + 1
+def _named(whole: np.ndarray, at: np.ndarray, wins: np.ndarray) -> np.ndarray:
+    """The print of slices: of their bytes, the anchor's place and the number of windows."""
+    return mix(whole ^ mix(((at.astype(np.uint64) + np.uint64(1)) << np.uint64(32)) | wins.astype(np.uint64)))
+
+
+def slices_of(data: np.ndarray, at: np.ndarray, span: int, least: int, k: int) -> tuple[np.ndarray, ...]:
+    """(row, anchor, print, start in the row, length, the anchor's place, windows) of the slices of a block, in order of row
+    and start."""
+    n, w = len(data), least - k + 1
     none = np.zeros(0, np.int64)
-    if n < span:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
+    if n < least:
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none, none
     sums = prefix_sums(data, BYTE_VALUE)
     place = np.arange(n - k + 1)
     hashes = span_hash(sums, place, place + k)
     # 33 bits of the hash, then the place: the least is the leftmost of the least hash
-    least = hashes >> np.uint64(31) << np.uint64(31) | place.astype(np.uint64)
+    low = hashes >> np.uint64(31) << np.uint64(31) | place.astype(np.uint64)
     step = 1
     while 2 * step <= w:
-        least = np.minimum(least[:-step], least[step:])
+        low = np.minimum(low[:-step], low[step:])
         step *= 2
     if w > step:
-        least = np.minimum(least[: len(least) - (w - step)], least[w - step :])
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(least)]
-    starts = np.flatnonzero(np.arange(len(least)) + span <= at[1:][row])
+        low = np.minimum(low[: len(low) - (w - step)], low[w - step :])
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(low)]
+    starts = np.flatnonzero(np.arange(len(low)) + least <= at[1:][row])
     if not len(starts):
-        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
-    anchor = (least[starts] & np.uint64((1 << 31) - 1)).astype(np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none, none
+    anchor = (low[starts] & np.uint64((1 << 31) - 1)).astype(np.int64)
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)))
     first, last = starts[new], starts[np.append(new[1:] - 1, len(starts) - 1)]
-    return row[first], hashes[anchor[new]], span_hash(sums, first, last + span), first - at[row[first]], last + span - first, anchor[new] - first
+    end = np.minimum(last + span, at[1:][row[first]])
+    place, wins = anchor[new] - first, last - first + 1
+    return row[first], hashes[anchor[new]], _named(span_hash(sums, first, end), place, wins), first - at[row[first]], end - first, place, wins
 
 
-def _slice_rows(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """anchor, print (hash of a slice), its length, the anchor's place in it, and its starts in a document, for each document
-    and different slice."""
+def _slice_rows(docs: DataFrame, span: int, least: int, k: int) -> DataFrame:
+    """anchor, print, length, the anchor's place, number of windows, and the starts in a document, for each document and
+    different slice."""
 
     def rows(batches):
         for b in batches:
             for i, _, data, at in text_blocks(b.column(2), SLICE_BLOCK):
-                row, anchor, name, start, length, place = slices_of(data, at, span, k)
-                order = np.lexsort((start, name, anchor, row))
-                row, anchor, name, start, length, place = (x[order] for x in (row, anchor, name, start, length, place))
+                found = slices_of(data, at, span, least, k)
+                row, anchor, name, start, length, place, wins = (x[np.lexsort((found[3], found[2], found[1], found[0]))] for x in found)
                 new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1]))) if len(row) else row
                 own = pa.array(row[new] + i)
                 starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(start.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(as_long(anchor[new])), pa.array(as_long(name[new])), pa.array(length[new].astype(np.int32)), pa.array(place[new].astype(np.int32)), starts], ["id", "hash", "anchor", "print", "length", "at", "starts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(as_long(anchor[new])), pa.array(as_long(name[new])), pa.array(length[new].astype(np.int32)), pa.array(place[new].astype(np.int32)), pa.array(wins[new].astype(np.int32)), starts], ["id", "hash", "anchor", "print", "length", "at", "wins", "starts"])
 
-    return docs.mapInArrow(rows, "id long, hash long, anchor long, print long, length int, at int, starts array<int>")
+    return docs.mapInArrow(rows, "id long, hash long, anchor long, print long, length int, at int, wins int, starts array<int>")
 
 
-_MARKS = "anchor long, print long, first array<int>, end array<int>"
+#: What a slice is known by on its way: copies in all, cross (two documents hold it), the least and largest name of these.
+_SLICE = "anchor long, print long, copies long, cross boolean, low long, high long, at int, wins int, bytes binary"
+_NAMES = [x.split()[0] for x in _SLICE.split(", ")]
+_KINDS = dict(zip(_NAMES, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True))
+#: Covered ranges: kind 0 by repeated windows of span bytes, kind 1 by windows of least bytes that documents share.
+_MARKS = "anchor long, print long, kind int, first array<int>, end array<int>"
 
 
-def _marks(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "print", "first", "end"])
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
-def _sorted_marks(slices: DataFrame, span: int) -> DataFrame:
-    """The covered ranges of each slice (anchor, print, copies, at, bytes) by suffix sorting; each anchor is in one task."""
+def _whole_marks(rows: DataFrame, span: int, least: int, repeated: Column, shared: Column, length: Column) -> DataFrame:
+    """rows with the covered ranges of slices of which all windows are repeated or shared, or none: kind, first, end."""
+    ranges = F.array(
+        F.struct(F.lit(0).alias("kind"), F.when(repeated & (length >= span), length).alias("to")),
+        F.struct(F.lit(1).alias("kind"), F.when(shared, F.col("wins") + (least - 1)).alias("to")),
+    )
+    out = rows.withColumn("_mark", F.explode(ranges)).where("_mark.to is not null")
+    return out.withColumns({"kind": F.col("_mark.kind"), "first": F.array(F.lit(0)), "end": F.array(F.col("_mark.to").cast("int"))}).drop("_mark")
+
+
+def _sorted_marks(slices: DataFrame, span: int, least: int) -> DataFrame:
+    """The covered ranges of each slice by suffix sorting; each anchor is in one task."""
+    kinds = dict(zip(("anchor", "print", "kind", "first", "end"), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True))
 
     def marks(batches):
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple] = []
         size = 0
 
         def done():
-            anchors, prints, copies, at, texts = zip(*held, strict=True)
-            first, end = trimmed(np.array(anchors, np.int64).view(np.uint64), list(texts), np.array(at, np.int64), span)
+            anchors, prints, copies, cross, low, high, at, wins, texts = zip(*held, strict=True)
+            first, end = trimmed(np.array(anchors, np.int64).view(np.uint64), list(texts), np.array(at, np.int64), np.array(wins, np.int64), least)
             kept = [i for i in range(len(held)) if first[i] < end[i]]
-            found = repeated_windows([texts[i][first[i] : end[i] - 1 + span] for i in kept], [1] * len(kept), span) if kept else []
-            ranges = [(anchors[i], prints[i], *_covered(np.flatnonzero(m) + first[i], span)) for i, m in zip(kept, found, strict=True) if copies[i] == 1]
-            ranges += [(a, p, np.array([0]), np.array([len(t)])) for a, p, c, t in zip(anchors, prints, copies, texts, strict=True) if c > 1]
-            return _marks([x for x in ranges if len(x[2])])
+            found = repeated_windows([texts[i][first[i] : end[i] - 1 + span] for i in kept], [int(end[i] - first[i]) for i in kept], *([x[i] for i in kept] for x in (cross, low, high)), span, least) if kept else []
+            ranges = []
+            for i, both in zip(kept, found, strict=True):
+                for kind, width in enumerate((span, least)):
+                    if kind == 0 and copies[i] > 1 or kind == 1 and cross[i]:
+                        continue  # all of them, below
+                    own = np.flatnonzero(both[kind])
+                    if len(own):
+                        ranges.append((anchors[i], prints[i], kind, *_covered(own + first[i], width)))
+            for a, p, c, x, w, t in zip(anchors, prints, copies, cross, wins, texts, strict=True):
+                if c > 1 and len(t) >= span:
+                    ranges.append((a, p, 0, [0], [len(t)]))
+                if x:
+                    ranges.append((a, p, 1, [0], [w - 1 + least]))
+            return _batch(ranges, kinds)
 
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if size >= SORT_BYTES and x[0] != held[-1][0]:
                     yield done()
                     held, size = [], 0
                 held.append(x)
-                size += len(x[4])
+                size += len(x[-1])
         if held:
             yield done()
 
-    dealt = slices.select("anchor", "print", "copies", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(marks, _MARKS)
+    return slices.select(*_NAMES).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(marks, _MARKS)
 
 
-def _split(slices: DataFrame, span: int, cell: int) -> DataFrame:
+def _split(slices: DataFrame, span: int, least: int, cell: int) -> DataFrame:
     """The slices in pieces: of windows with the anchor at least i * cell and less than (i + 1) * cell bytes from their start, for
     each i. All windows of such a group share the bytes around the anchor that name the piece's own anchor."""
-    names = ["of", "named", "shift", "anchor", "print", "copies", "at", "bytes"]
+    kinds = {"of": pa.int64(), "named": pa.int64(), "shift": pa.int32()} | _KINDS
 
     def pieces(batches):
         for b in batches:
             for first in range(0, b.num_rows, 1024):
                 out = []
-                for anchor, name, copies, at, text in zip(*(c.to_pylist() for c in b.slice(first, 1024).columns), strict=True):
+                for anchor, name, copies, cross, low, high, at, wins, text in zip(*(c.to_pylist() for c in b.slice(first, 1024).columns), strict=True):
                     sums = prefix_sums(np.frombuffer(text, np.uint8), BYTE_VALUE)
-                    nearest, farthest = at - (len(text) - span), at  # bytes from a window's start to the anchor
-                    for low in range(nearest // cell * cell, farthest + 1, cell):
-                        shift, end = at - min(farthest, low + cell - 1), at - max(nearest, low) + span
-                        ends = np.array([at - low, shift]), np.array([at - low - cell + 1 + span, end])
-                        whole = span_hash(sums, *ends)
-                        own = mix(whole[:1] ^ mix(np.array([low + 1], np.uint64) ^ np.array([anchor], np.int64).view(np.uint64)))
-                        out.append((anchor, name, shift, int(as_long(own)[0]), int(as_long(whole)[1]), copies, at - shift, text[shift:end]))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 8, kinds, strict=True)], names)
+                    nearest, farthest = at - wins + 1, at  # bytes from a window's start to the anchor
+                    for near in range(nearest // cell * cell, farthest + 1, cell):
+                        shift, last = at - min(farthest, near + cell - 1), at - max(nearest, near)
+                        end = min(len(text), last + span)
+                        whole = span_hash(sums, np.array([at - near, shift]), np.array([at - near - cell + 1 + least, end]))
+                        own = mix(whole[:1] ^ mix(np.array([near + 1], np.uint64) ^ np.array([anchor], np.int64).view(np.uint64)))
+                        place, n = np.array([at - shift]), np.array([last - shift + 1])
+                        out.append((anchor, name, shift, int(as_long(own)[0]), int(as_long(_named(whole[1:], place, n))[0]), copies, cross, low, high, at - shift, last - shift + 1, text[shift:end]))
+                yield _batch(out, kinds)
 
-    return slices.select("anchor", "print", "copies", "at", "bytes").mapInArrow(pieces, "of long, named long, shift int, anchor long, print long, copies long, at int, bytes binary")
+    return slices.select(*_NAMES).mapInArrow(pieces, f"of long, named long, shift int, {_SLICE}")
 
 
-def _marks_of(slices: DataFrame, span: int, cell: int, most: int) -> DataFrame:
-    """The covered ranges of each slice (anchor, print, copies, at, bytes; a written table, one row for each anchor and print).
+def _marks_of(slices: DataFrame, span: int, least: int, cell: int, most: int) -> DataFrame:
+    """The covered ranges of each slice (a written table, one row for each anchor and print).
 
     Anchors with more than `most` slices are split and their pieces, equal ones merged, taken the same way. The windows of
-    a piece of cell 1 are equal, so this ends."""
+    pieces of cell 1 that have one anchor are equal, so this ends."""
     hot = slices.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor")
-    if cell == 1 or hot.isEmpty():
-        return _sorted_marks(slices, span)
+    if hot.isEmpty():
+        return _sorted_marks(slices, span, least)
     hot = written(hot, "hot")
     cell = -(-cell // SPLIT)
-    pieces = written(_split(slices.join(hot, "anchor", "left_semi"), span, cell), "pieces")
-    merged = pieces.groupBy("anchor", "print").agg(F.sum("copies").alias("copies"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
-    kinds = pieces.groupBy("anchor").agg((F.min("print") != F.max("print")).alias("many"))
-    merged = written(merged.join(kinds, "anchor"), "merged")
-    whole = merged.where("not many and copies > 1").select("anchor", "print", F.array(F.lit(0)).alias("first"), F.array(F.octet_length("bytes")).alias("end"))
-    marks = whole.union(_marks_of(written(merged.where("many").drop("many"), "split"), span, cell, most))
+    pieces = written(_split(slices.join(hot, "anchor", "left_semi"), span, least, cell), "pieces")
+    names = [F.min("low").alias("low"), F.max("high").alias("high")]
+    merged = pieces.groupBy("anchor", "print").agg(F.sum("copies").alias("copies"), (F.max("cross") | (F.min("low") != F.max("high"))).alias("cross"), *names, *(F.first(c).alias(c) for c in ("at", "wins", "bytes")))
+    of_anchor = pieces.groupBy("anchor").agg(((F.min("print") != F.max("print")) & F.lit(cell > 1)).alias("many"), (F.max("cross") | (F.min("low") != F.max("high"))).alias("shared"))
+    merged = written(merged.join(of_anchor, "anchor"), "merged")
+    marks = _whole_marks(merged.where("not many"), span, least, F.col("copies") > 1, F.col("shared"), F.octet_length("bytes")).select("anchor", "print", "kind", "first", "end")
+    if cell > 1:
+        marks = marks.union(_marks_of(written(merged.where("many").select(*_NAMES), "split"), span, least, cell, most))
     back = pieces.select("of", "named", "shift", "anchor", "print").join(marks, ["anchor", "print"])
-    back = back.select(F.col("of").alias("anchor"), F.col("named").alias("print"), *(F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("first", "end")))
-    return _sorted_marks(slices.join(hot, "anchor", "left_anti"), span).union(back)
+    back = back.select(F.col("of").alias("anchor"), F.col("named").alias("print"), "kind", *(F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("first", "end")))
+    return _sorted_marks(slices.join(hot, "anchor", "left_anti"), span, least).union(back)
+
+
+def _passages(text: np.ndarray, shared: np.ndarray, least_words: int) -> int:
+    """Runs of shared bytes that hold so many whole words."""
+    turns = np.flatnonzero(np.diff(np.concatenate(([0], shared.astype(np.int8), [0]))))
+    if not len(turns):
+        return 0
+    _, start, end, _ = words(text, np.array([0, len(text)]))
+    return int((np.searchsorted(end, turns[1::2], "right") - np.searchsorted(start, turns[::2], "left") >= least_words).sum())
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN, k: int | None = None, most_slices: int = MOST_SLICES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start and end bytes of the removed runs) for each row of docs
-    (doc_id long, text).
+def without_repeats(docs: DataFrame, span: int = SPAN, least: int | None = None, k: int | None = None, passage_words: int = PASSAGE_WORDS, most_slices: int = MOST_SLICES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and removed (start and end bytes of the removed runs) for
+    each row of docs (doc_id long, text).
 
     Every byte is removed that a window of `span` bytes covers whose bytes also start anywhere else in the table, its own
-    document included; windows are judged on the whole input. Null and empty texts, and texts shorter than span, lose
-    nothing. Rows that repeat a doc_id (or have none) are documents of their own. An empty table gives no rows."""
-    k = min(ANCHOR, max(1, span // 2)) if k is None else k
+    document included; windows are judged on the whole input. n_passages reports, and removes nothing: the runs of bytes
+    covered by windows of `least` bytes that stand in another document too, if they hold passage_words whole words. Null
+    and empty texts, and texts shorter than a window, lose nothing. Rows that repeat a doc_id (or have none) are documents
+    of their own. An empty table gives no rows."""
+    least = min(span, LEAST) if least is None else least
+    k = min(ANCHOR, max(1, least // 2)) if k is None else k
     text = docs["text"].cast("string")
     keyed = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    rows = written(_slice_rows(keyed, span, k), "slices")
-    kinds = rows.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n"), (F.min("print") != F.max("print")).alias("many")).where("n > 1").select("anchor", "many")
+    rows = written(_slice_rows(keyed, span, least, k), "slices")
+    # a row is one slice of one document, so two rows of an anchor and print are two documents
+    kinds = rows.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n"), (F.min("print") != F.max("print")).alias("many"), (F.count("*") > 1).alias("shared")).where("n > 1").drop("n")
     members = written(rows.join(kinds, "anchor"), "members")
-    distinct = members.where("many").groupBy("anchor", "print").agg(F.sum(F.size("starts")).alias("copies"), F.min(F.struct("id", "hash", F.col("starts")[0].alias("start"), "length", "at")).alias("one"))
-    distinct = distinct.select("anchor", "print", "copies", "one.*")
-    wanted = distinct.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "length", "anchor", "print", "copies", "at")).alias("slices"))
+    doc = F.xxhash64("id", "hash")
+    distinct = members.where("many").groupBy("anchor", "print").agg(F.sum(F.size("starts")).alias("copies"), (F.count("*") > 1).alias("cross"), F.min(doc).alias("low"), F.max(doc).alias("high"), F.min(F.struct("id", "hash", F.col("starts")[0].alias("start"), "length", "at", "wins")).alias("one"))
+    distinct = distinct.select("anchor", "print", "copies", "cross", "low", "high", "one.*")
+    own = ["start", "length", *_NAMES[:-1]]
+    wanted = distinct.groupBy("id", "hash").agg(F.collect_list(F.struct(*own)).alias("slices"))
     wanted = wanted.select(F.col("id").alias("of"), F.col("hash").alias("named"), "slices")
 
     def cut(batches):
@@ -387,20 +444,21 @@ def without_repeats(docs: DataFrame, span: int = SPAN, k: int | None = None, mos
             for i, own in enumerate(b.column(1)):
                 for s in own.as_py():
                     first = int(at[i]) + s["start"]
-                    held.append((s["anchor"], s["print"], s["copies"], s["at"], data[first : first + s["length"]].tobytes()))
+                    held.append((*(s[n] for n in _NAMES[:-1]), data[first : first + s["length"]].tobytes()))
                     size += s["length"]
                 if held and (size > 4 << 20 or i == b.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "print", "copies", "at", "bytes"])
+                    yield _batch(held, _KINDS)
                     held, size = [], 0
 
     same = keyed["id"].eqNullSafe(wanted["of"]) & (keyed["hash"] == wanted["named"])
-    slices = written(keyed.join(wanted, same).select("text", "slices").mapInArrow(cut, "anchor long, print long, copies long, at int, bytes binary").dropDuplicates(["anchor", "print"]), "bytes")
-    marks = written(_marks_of(slices, span, span - k + 1, most_slices), "marks")
-    found = members.where("many").select("id", "hash", "anchor", "print", "starts").join(marks, ["anchor", "print"]).select("id", "hash", "starts", "first", "end")
+    slices = written(keyed.join(wanted, same).select("text", "slices").mapInArrow(cut, _SLICE).dropDuplicates(["anchor", "print"]), "bytes")
+    marks = written(_marks_of(slices, span, least, least - k + 1, most_slices), "marks")
+    ranges = ["id", "hash", "starts", "kind", "first", "end"]
+    found = members.where("many").select("id", "hash", "anchor", "print", "starts").join(marks, ["anchor", "print"]).select(*ranges)
     # an anchor with one slice only: all of its copies are repeated
-    whole = members.where("not many").select("id", "hash", "starts", F.array(F.lit(0)).alias("first"), F.array("length").alias("end"))
+    whole = _whole_marks(members.where("not many"), span, least, F.lit(True), F.col("shared"), F.col("length")).select(*ranges)
     # rows of equal doc_id and text have the same ranges: a set, so that these count once
-    ranges = found.union(whole).groupBy("id", "hash").agg(F.collect_set(F.struct("starts", "first", "end")).alias("ranges")).select(F.col("id").alias("of"), F.col("hash").alias("named"), "ranges")
+    ranges = found.union(whole).groupBy("id", "hash").agg(F.collect_set(F.struct("starts", "kind", "first", "end")).alias("ranges")).select(F.col("id").alias("of"), F.col("hash").alias("named"), "ranges")
 
     def finish(batches):
         for b in batches:
@@ -408,20 +466,20 @@ def without_repeats(docs: DataFrame, span: int = SPAN, k: int | None = None, mos
             out = []
             for i in range(b.num_rows):
                 own = data[at[i] : at[i + 1]]
-                edge = np.zeros(len(own) + 1, np.int32)
+                edges = np.zeros((2, len(own) + 1), np.int32)
                 ranges_ = b.column(2)[i].values
                 for r in ranges_ if ranges_ is not None else ():
-                    starts = np.asarray(r["starts"].values)
+                    starts, edge = np.asarray(r["starts"].values), edges[r["kind"].as_py()]
                     for x, sign in (("first", 1), ("end", -1)):
                         np.add.at(edge, (starts[:, None] + np.asarray(r[x].values)[None, :]).ravel(), sign)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone, shared = np.cumsum(edges[:, :-1], axis=1) > 0
                 turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 removed = [{"start": int(x), "end": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)]
-                out.append((len(own), int(gone.sum()), len(removed), hashlib.sha256(own[~gone].tobytes()).hexdigest(), removed))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+                out.append((len(own), int(gone.sum()), len(removed), hashlib.sha256(own[~gone].tobytes()).hexdigest(), _passages(own, shared, passage_words), removed))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "removed"])
 
     same = keyed["id"].eqNullSafe(ranges["of"]) & (keyed["hash"] == ranges["named"])
     joined = keyed.join(ranges, same, "left").select("id", "text", "ranges")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, removed array<struct<start:long,end:long>>")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 
@@ -42,6 +43,24 @@ def brute(texts, span):
     return out
 
 
+def brute_passages(texts, least, most_words):
+    """Runs covered by windows of `least` bytes that another text holds, with so many whole words."""
+    of = {}
+    for n, t in enumerate(texts):
+        for i in range(len(t) - least + 1):
+            of.setdefault(t[i : i + least], set()).add(n)
+    out = []
+    for t in texts:
+        held = bytearray(len(t) + 1)
+        for i in range(len(t) - least + 1):
+            if len(of[t[i : i + least]]) > 1:
+                held[i : i + least] = b"1" * least
+        runs = [(m.start(), m.end()) for m in re.finditer(b"1+", bytes(held))]
+        spots = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        out.append(sum(sum(a <= x and y <= b for x, y in spots) >= most_words for a, b in runs))
+    return out
+
+
 def test_against_brute_force(spark):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 6))) for _ in range(200)]
@@ -56,8 +75,11 @@ def test_against_brute_force(spark):
     rows += [rows[13]] * 3 + [rows[7]] * 2  # rows that can't be told apart
     docs = spark.createDataFrame(rows, "doc_id long, text string, hash string")
     expected = sorted(brute([(t or "").encode() for _, t, _ in rows], 40))
+    shared = sorted(zip((str(r[0]) for r in rows), brute_passages([(t or "").encode() for _, t, _ in rows], 24, 6), strict=True))
+    assert any(n for _, n in shared)
     for most in (suffix.MOST_SLICES, 1):
-        out = suffix.without_repeats(docs, span=40, most_slices=most).collect()
+        out = suffix.without_repeats(docs, span=40, least=24, passage_words=6, most_slices=most).collect()
+        assert sorted((str(r["doc_id"]), r["n_passages"]) for r in out) == shared
         assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == expected
         assert sorted(map(str, (r["doc_id"] for r in out))) == sorted(str(r[0]) for r in rows)
 
@@ -78,10 +100,10 @@ def test_trimmed_keeps_what_is_repeated():
             slices.append(bytes(a[100 - far :] + anchor + b)[: far - near + span])
             at.append(far)
         assert all(len(s) >= span for s in slices)
-        copies = [1] * len(slices)
-        whole = suffix.repeated_windows(slices, copies, span)
-        first, end = suffix.trimmed(np.full(len(slices), 9, np.uint64), slices, np.array(at), span)
-        for marks, i, j in zip(whole, first, end, strict=True):
+        wins = [len(x) - span + 1 for x in slices]
+        whole = suffix.repeated_windows(slices, wins, [False] * len(slices), [1] * len(slices), [1] * len(slices), span, span)
+        first, end = suffix.trimmed(np.full(len(slices), 9, np.uint64), slices, np.array(at), np.array(wins), span)
+        for (marks, _), i, j in zip(whole, first, end, strict=True):
             assert not marks[:i].any() and not marks[j:].any()
 
 
