@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmerge.plans.settled import settled
+
+#: Groups of up to so many links are labelled in one row; larger ones by joins.
+MOST_IN_ROW = 100_000
+
 
 def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
@@ -30,7 +35,29 @@ def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(links: DataFrame) -> DataFrame:
     """(submission_id, uid, component) of the observations that have links; component is its smallest uid.
 
-    Links don't cross submissions or categories, so a group of (submission, category) is labelled by itself."""
-    groups = links.groupBy("submission_id", "category").agg(F.collect_list(F.struct("a_uid", "b_uid")).alias("links"))
+    Links don't cross submissions or categories, so a group of (submission, category) is labelled by itself: in one row,
+    or, where it has more than MOST_IN_ROW links, in rounds of joins."""
+    keys = ["submission_id", "category"]
+    large = settled(links.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_ROW).select(*keys))
+    crowded = not large.isEmpty()
+    rest = links.join(large, keys, "left_anti") if crowded else links
+    groups = rest.groupBy(*keys).agg(F.collect_list(F.struct("a_uid", "b_uid")).alias("links"))
     kind = links.schema["submission_id"].dataType.simpleString()
-    return groups.select("submission_id", "links").mapInPandas(_labels, f"submission_id {kind}, uid int, component int")
+    labels = groups.select("submission_id", "links").mapInPandas(_labels, f"submission_id {kind}, uid int, component int")
+    return labels.unionByName(_joined_labels(links.join(large, keys, "left_semi"))) if crowded else labels
+
+
+def _joined_labels(links: DataFrame) -> DataFrame:
+    """As components, for groups of any size: each round a node takes the least label around it, then its label's own."""
+    ends = links.select("submission_id", F.col("a_uid").alias("uid"), F.col("b_uid").alias("other"))
+    both = settled(ends.union(links.select("submission_id", "b_uid", "a_uid")).distinct())
+    labels = settled(both.groupBy("submission_id", "uid").agg(F.least("uid", F.min("other")).alias("component")))
+    while True:
+        around = both.join(labels.select("submission_id", F.col("uid").alias("other"), F.col("component").alias("near")), ["submission_id", "other"])
+        least = around.groupBy("submission_id", "uid").agg(F.min("near").alias("near"))
+        moved = labels.join(least, ["submission_id", "uid"]).withColumn("to", F.least("component", "near"))
+        jump = labels.select("submission_id", F.col("uid").alias("to"), F.col("component").alias("further"))
+        moved = settled(moved.join(jump, ["submission_id", "to"]).select("submission_id", "uid", F.least("to", "further").alias("component"), (F.least("to", "further") < F.col("component")).alias("changed")))
+        labels = moved.drop("changed")
+        if moved.where("changed").isEmpty():
+            return labels

@@ -21,6 +21,10 @@ from fieldmerge.operators.candidates import with_component
 WORK = 2_000_000
 
 
+#: What is said of a submission with a component that needs more.
+SAY_WORK = "a component needs more than %d steps of the exact search"
+
+
 class WorkExceeded(RuntimeError):
     """The component needs more than WORK steps; no answer is better than a wrong one."""
 
@@ -139,24 +143,70 @@ def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nodes = sorted(row.nodes, key=lambda x: x["uid"])
             place = {x["uid"]: i for i, x in enumerate(nodes)}
             links = {(place[x["a_uid"]], place[x["b_uid"]]): x["w"] for x in row.links}
-            _, _, chosen = best_forest([x["field_idx"] for x in nodes], [x["id_rank"] for x in nodes], [(x["filter_x"], x["filter_y"]) for x in nodes], links)
-            found += [(row.submission_id, row.component, nodes[a]["uid"], nodes[b]["uid"]) for a, b in chosen]
-        yield pd.DataFrame(found, columns=["submission_id", "component", "a_uid", "b_uid"])
+            try:
+                _, _, chosen = best_forest([x["field_idx"] for x in nodes], [x["id_rank"] for x in nodes], [(x["filter_x"], x["filter_y"]) for x in nodes], links)
+                found += [(row.submission_id, row.component, nodes[a]["uid"], nodes[b]["uid"]) for a, b in chosen]
+            except WorkExceeded:
+                found.append((row.submission_id, row.component, None, None))
+        yield pd.DataFrame(found, columns=["submission_id", "component", "a_uid", "b_uid"]).astype({"a_uid": "Int32", "b_uid": "Int32"})
 
 
-def chosen_links(observations: DataFrame, links: DataFrame, components: DataFrame) -> DataFrame:
-    """(submission_id, component, a_uid, b_uid, a_id, b_id, w): the links of the best forest."""
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = []
+        for row in batch.itertuples(index=False):
+            taken = {x["uid"]: 1 << x["field_idx"] for x in row.nodes}
+            up = {x["uid"]: x["uid"] for x in row.nodes}
+            for link in sorted(row.links, key=lambda x: (x["w"], x["a_uid"], x["b_uid"])):
+                a, b = link["a_uid"], link["b_uid"]
+                while up[a] != a:
+                    a = up[a]
+                while up[b] != b:
+                    b = up[b]
+                if a != b and not taken[a] & taken[b]:
+                    up[b] = a
+                    taken[a] |= taken[b]
+                    found.append((row.submission_id, row.component, link["a_uid"], link["b_uid"], link["w"]))
+        yield pd.DataFrame(found, columns=["submission_id", "component", "a_uid", "b_uid", "w"])
+
+
+def _rows(observations: DataFrame, links: DataFrame, components: DataFrame) -> DataFrame:
+    """One row for each component: links (a_uid, b_uid, w) and nodes (uid, field_idx, id_rank, filter_x, filter_y)."""
     keys = ["submission_id", "component"]
-    own = with_component(links, components).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    columns = [*keys, "a_uid", "b_uid", "a_id", "b_id", "w"]
-    single = own.where("n = 1").select(*columns)
-    many = own.where("n > 1")
-    grouped = many.groupBy(*keys).agg(F.collect_list(F.struct("a_uid", "b_uid", "w")).alias("links"))
+    grouped = links.groupBy(*keys).agg(F.collect_list(F.struct("a_uid", "b_uid", "w")).alias("links"))
     ranked = observations.join(components, ["submission_id", "uid"]).withColumn("id_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(utf16_key(F.col("particle_id")))))
     nodes = ranked.groupBy(*keys).agg(F.collect_list(F.struct("uid", "field_idx", "id_rank", "filter_x", "filter_y")).alias("nodes"))
+    return grouped.join(nodes, keys)
+
+
+def searched_links(observations: DataFrame, links: DataFrame, components: DataFrame) -> DataFrame:
+    """(submission_id, component, a_uid, b_uid): the links of the best forest; of a component that needs more than WORK
+    steps one row without links."""
+    own = with_component(links, components).withColumn("n", F.count("*").over(Window.partitionBy("submission_id", "component")))
+    columns = ["submission_id", "component", "a_uid", "b_uid"]
+    kind = links.schema["submission_id"].dataType.simpleString()
+    solved = _rows(observations, own.where("n > 1"), components).mapInPandas(_solved, f"submission_id {kind}, component int, a_uid int, b_uid int")
+    return own.where("n = 1").select(*columns).unionByName(solved)
+
+
+def with_links(searched: DataFrame, links: DataFrame) -> DataFrame:
+    """(submission_id, component, a_uid, b_uid, a_id, b_id, w) of the links that were found."""
+    return searched.join(links, ["submission_id", "a_uid", "b_uid"]).select("submission_id", "component", "a_uid", "b_uid", "a_id", "b_id", "w")
+
+
+def chosen_links(observations: DataFrame, links: DataFrame, components: DataFrame) -> DataFrame:
+    """The links of the best forest, as with_links; fails on a component that needs more than WORK steps."""
+    searched = searched_links(observations, links, components)
+    failed = F.raise_error(F.format_string(SAY_WORK + " (submission %s, component %d)", F.lit(WORK), F.col("submission_id").cast("string"), F.col("component")))
+    return with_links(searched.withColumn("a_uid", F.when(F.col("a_uid").isNull(), failed.cast("int")).otherwise(F.col("a_uid"))), links)
+
+
+def greedy_links(observations: DataFrame, links: DataFrame, components: DataFrame) -> DataFrame:
+    """(submission_id, component, a_uid, b_uid, w): links taken in order of distance, then uids, where they join two trees
+    without a common field. A first guess, not the best forest, unless no field occurs twice."""
     kind = links.schema["submission_id"].dataType.simpleString()
-    solved = grouped.join(nodes, keys).mapInPandas(_solved, f"submission_id {kind}, component int, a_uid int, b_uid int")
-    return single.unionByName(solved.join(many.drop("component"), ["submission_id", "a_uid", "b_uid"]).select(*columns))
+    weight = links.schema["w"].dataType.simpleString()
+    return _rows(observations, with_component(links, components), components).mapInPandas(_greedy, f"submission_id {kind}, component int, a_uid int, b_uid int, w {weight}")
 
 
 def forest_values(chosen: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmerge.operators import assemble, candidates, forest, validate
@@ -26,49 +26,66 @@ def adjudicate(observations: DataFrame, banded: bool = False) -> Adjudication:
     """Final objects of any observations; nothing is checked, and any number of fields is taken."""
     observations = settled(observations)
     links = settled(candidates.candidate_links_banded(observations) if banded else candidates.candidate_links(observations))
-    return _solved(observations, links, settled(components(links)))
-
-
-def _solved(observations: DataFrame, links: DataFrame, parts: DataFrame) -> Adjudication:
+    parts = settled(components(links))
     chosen = settled(forest.chosen_links(observations, links, parts))
     return Adjudication(observations, links, parts, chosen, assemble.final_particles(observations, chosen))
 
 
+def _say(template: str, n: str, most: int) -> Column:
+    return F.format_string(template, F.col(n), F.lit(most))
+
+
+def crowded(links: DataFrame) -> DataFrame:
+    """(submission_id, error_message) of submissions with too many links."""
+    return candidates.link_counts(links).where("over_limit").select("submission_id", _say(candidates.SAY_LINKS, "n_links", candidates.MOST_LINKS).alias("error_message"))
+
+
 def refusals(links: DataFrame, parts: DataFrame) -> DataFrame:
-    """(submission_id, error_message) of submissions beyond the solver's limits: the first offence by component."""
-    say = lambda template, n, most: F.format_string(template, F.col(n), F.lit(most))
-    whole = candidates.link_counts(links).where("over_limit").select("submission_id", F.lit(-1).alias("component"), say(candidates.SAY_LINKS, "n_links", candidates.MOST_LINKS).alias("m"))
+    """(submission_id, error_message) of submissions with a component beyond the solver's limits: the first one."""
     sizes = candidates.component_sizes(links, parts).where("over_limit")
-    nodes = say(candidates.SAY_COMPONENT_NODES, "n_nodes", candidates.MOST_COMPONENT_NODES)
-    said = F.when(F.col("n_nodes") > candidates.MOST_COMPONENT_NODES, nodes).otherwise(say(candidates.SAY_COMPONENT_LINKS, "n_links", candidates.MOST_COMPONENT_LINKS))
-    return whole.unionByName(sizes.select("submission_id", "component", said.alias("m"))).groupBy("submission_id").agg(F.min_by("m", "component").alias("error_message"))
+    nodes = _say(candidates.SAY_COMPONENT_NODES, "n_nodes", candidates.MOST_COMPONENT_NODES)
+    said = F.when(F.col("n_nodes") > candidates.MOST_COMPONENT_NODES, nodes).otherwise(_say(candidates.SAY_COMPONENT_LINKS, "n_links", candidates.MOST_COMPONENT_LINKS))
+    return sizes.select("submission_id", "component", said.alias("m")).groupBy("submission_id").agg(F.min_by("m", "component").alias("error_message"))
 
 
 def process_submissions(raw: DataFrame) -> DataFrame:
     """(submission_id, status, error_message, issues, result) of raw bodies (submission_id, body): status 200 with a result,
-    413 for a body beyond the limit, 400 with located issues, 422 beyond the solver's limits."""
+    413 for a body beyond the limit, 400 with located issues, 422 beyond the solver's limits or its steps.
+
+    One row for each row of raw: a null or repeated submission_id names several bodies, each with an outcome of its own. A
+    null body is read as an empty one, invalid UTF-8 as replacement characters; a lone surrogate escaped in a JSON string
+    comes out as the escape. An empty table gives no rows."""
+    named = settled(raw.select(F.monotonically_increasing_id().alias("row"), F.col("submission_id").alias("named"), F.make_valid_utf8(F.col("body")).alias("body")))
+    rows = named.select(F.col("row").alias("submission_id"), "body")
     nothing = F.array().cast("array<struct<path:string,message:string>>")
-    found = settled(validate.inspected(raw))
+    found = settled(validate.inspected(rows))
     issues = settled(validate.issues(found))
     refused = issues.groupBy("submission_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "message"))), lambda i: i.dropFields("ord")).alias("issues"))
     submissions = settled(validate.normalised(found, refused))
     observations = settled(expand(submissions))
     links = settled(candidates.candidate_links(observations))
+    over = settled(crowded(links))
+    links = links.join(over, "submission_id", "left_anti")
     parts = settled(components(links))
-    over = settled(refusals(links, parts))
+    over = settled(over.unionByName(refusals(links, parts)))
     solvable, links, parts = (x.join(over, "submission_id", "left_anti") for x in (observations, links, parts))
-    done = _solved(solvable, links, parts)
+    searched = settled(forest.searched_links(solvable, links, parts))
+    given_up = searched.where("a_uid is null").select("submission_id", F.lit(forest.SAY_WORK % forest.WORK).alias("error_message")).distinct()
+    over = settled(over.unionByName(given_up))
+    chosen = settled(forest.with_links(searched.join(over, "submission_id", "left_anti"), links))
+    particles = assemble.final_particles(observations.join(over, "submission_id", "left_anti"), chosen)
     fields = submissions.join(over, "submission_id", "left_anti").select("submission_id", "tolerance", F.size("fields").alias("field_count"))
     result = F.struct(F.col("tolerance"), F.col("field_count").alias("fieldCount"), F.col("observation_count").alias("observationCount"), F.col("link_count").alias("linkCount"), F.col("total_particles").alias("totalParticles"), F.col("particles"))
-    listed = done.particles.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct(
+    listed = particles.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("particle_no").alias("id"), "category", F.struct(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).alias("representative"),
         F.transform("observations", lambda o: F.struct(o["field_idx"].alias("fieldIndex"), o["field_name"].alias("fieldName"), o["particle_id"].alias("particleId"), o["local_x"].alias("localX"), o["local_y"].alias("localY"), o["filter_x"].alias("filterX"), o["filter_y"].alias("filterY"))).alias("observations"),
         "links",
     ))).alias("particles"))
-    solved = assemble.summaries(done.particles, fields).join(listed, "submission_id", "left").select("submission_id", result.alias("result"))
-    large = raw.select("submission_id", (F.octet_length("body") > validate.MOST_BYTES).alias("large"))
+    solved = assemble.summaries(particles, fields).join(listed, "submission_id", "left").select("submission_id", result.alias("result"))
+    large = rows.select("submission_id", (F.octet_length("body") > validate.MOST_BYTES).alias("large"))
     joined = large.join(refused, "submission_id", "left").join(over, "submission_id", "left").join(solved, "submission_id", "left")
     status = F.when(F.col("large"), 413).when(F.col("issues").isNotNull(), 400).when(F.col("error_message").isNotNull(), 422).otherwise(200)
     unread = F.exists("issues", lambda i: i["message"] == validate.SAY_JSON)
     message = F.when(F.col("large"), validate.SAY_LARGE).when(unread, validate.SAY_UNREAD).when(F.col("issues").isNotNull(), validate.SAY_REFUSED).otherwise(F.col("error_message"))
-    return joined.select("submission_id", status.alias("status"), message.alias("error_message"), F.coalesce("issues", nothing).alias("issues"), "result")
+    outcomes = joined.select(F.col("submission_id").alias("row"), status.alias("status"), message.alias("error_message"), F.coalesce("issues", nothing).alias("issues"), "result")
+    return named.select("row", F.col("named").alias("submission_id")).join(outcomes, "row").drop("row")

@@ -9,8 +9,9 @@ from fieldmerge.functions.text import default_name
 from fieldmerge.operators import assemble, candidates, forest, validate
 from fieldmerge.operators.components import components
 from fieldmerge.operators.expand import numbered
-from fieldmerge.plans.adjudicate import adjudicate
-from fieldmerge.sources.submissions import event_observations, order_fields, table
+from fieldmerge.plans.adjudicate import adjudicate, process_submissions
+from fieldmerge.plans.settled import settled
+from fieldmerge.sources.submissions import event_bodies, event_observations, order_bodies, order_fields, table
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +84,40 @@ def submission_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_links_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components where no field occurs twice: there the shortest links that join new parts are the best forest, so
-    links and weight of Kruskal's greedy choice are those of the chosen ones."""
-    done = adjudicate(_observations(spark, sf_dir))
-    nodes = done.observations.join(done.components, ["submission_id", "uid"])
+    """Links and weight of the greedy choice in components where no field occurs twice; there it is the best forest, and
+    the SQL takes that."""
+    observations, links, parts = _labelled(spark, sf_dir)
+    nodes = observations.join(parts, ["submission_id", "uid"])
     free = nodes.groupBy("submission_id", "component").agg((F.count("*") == F.countDistinct("field_idx")).alias("free")).where("free").drop("free")
-    return forest.forest_values(done.chosen).join(free, ["submission_id", "component"]).select("submission_id", _long("component"), "n_links", _long("weight"))
+    greedy = forest.forest_values(forest.greedy_links(observations, links, parts))
+    return greedy.join(free, ["submission_id", "component"]).select("submission_id", _long("component"), "n_links", _long("weight"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    links = settled(_links(spark, sf_dir))
+    return _observations(spark, sf_dir), links, settled(components(links))
+
+
+def greedy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy choice of every component, the first bound of an exact search."""
+    return forest.greedy_links(*_labelled(spark, sf_dir)).select("submission_id", _long("component"), _long("a_uid"), _long("b_uid"), _long("w"))
+
+
+def submission_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over the events as JSON bodies."""
+    done = process_submissions(event_bodies(spark, sf_dir))
+    numbers = [_long_of(f"result.{c}", n) for c, n in (("observationCount", "observation_count"), ("linkCount", "link_count"), ("totalParticles", "total_particles"))]
+    return done.select("submission_id", _long("status"), F.size("issues").cast("bigint").alias("n_issues"), *numbers)
+
+
+def _long_of(expression: str, name: str):
+    return F.col(expression).cast("bigint").alias(name)
+
+
+def order_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over the orders as JSON bodies: status and issues, one row for each issue (or one without)."""
+    done = process_submissions(order_bodies(spark, sf_dir))
+    return done.select("submission_id", _long("status"), F.posexplode_outer("issues").alias("ord", "issue")).select("submission_id", "status", _long("ord"), "issue.path", "issue.message")
 
 
 def validation_issues_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,11 +152,11 @@ def validation_issues_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 3 issues a submission here, since orders have few; the service's cap is validate.MOST_ISSUES."""
+    """The first validate.MOST_ISSUES issues of each order."""
     order = ["field_idx", "particle_idx", "axis"]
     odd = _odd_coordinates(spark, sf_dir).select("submission_id", *order, "path", F.lit(validate.SAY_COORDINATE).alias("message"))
     twice = _repeated(spark, sf_dir).select("submission_id", "field_idx", "particle_idx", F.lit(-1).alias("axis"), "path", validate.twice_message(F.col("id"), F.col("first_path")).alias("message"))
-    return validate.capped(odd.unionByName(twice), order, 3)
+    return validate.capped(odd.unionByName(twice), order)
 
 
 def normalise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +169,9 @@ def normalise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        observations_expand, candidate_links, candidate_links_banded, link_counts_limits, component_labels, component_sizes, greedy_links_bound, best_forest_value, chosen_links,
+        observations_expand, candidate_links, candidate_links_banded, link_counts_limits, component_labels, component_sizes, greedy_links_bound, greedy_links, best_forest_value, chosen_links,
         partner_lists, final_particles, particle_observations, submission_summary, validation_issues_fields, validation_issues_ids, validation_issues_coords, issues_capped, normalise_names,
+        submission_outcomes, order_issues,
     )
 }
 
@@ -205,7 +235,23 @@ twice as (select l_orderkey as submission_id, f, p, -1 as axis, 'fields[' || f |
 odd as (select l_orderkey as submission_id, f, p, axis, 'fields[' || f || '].particles[' || p || '].' || name as path, '颗粒坐标必须是 |v| ≤ 1000000 的整数' as message
   from (select *, 0 as axis, 'x' as name, l_extendedprice::double as v from rows_ union all select *, 1, 'y', l_quantity::double from rows_) where v <> floor(v) or abs(v) > 1000000)"""
 
+# the same links in the same order, but each is taken if it can be
+_GREEDY = (
+    _BEST[: _BEST.index("grown as (")]
+    + """
+greedy as (
+  select sub, c, 0::bigint as k, list(i order by i) as tree, list(1 << f order by i) as taken, false as took, 0::bigint as a, 0::bigint as b, 0::bigint as w from member group by sub, c
+  union all
+  select sub, c, k, case when can then list_transform(tree, lambda t: case when t = tree[b] then tree[a] else t end) else tree end,
+    case when can then list_transform(taken, lambda x, j: case when j = tree[a] then x | taken[tree[b]] else x end) else taken end, can, a, b, w
+  from (select g.sub, g.c, l.k, g.tree, g.taken, l.a, l.b, l.w, g.tree[l.a] <> g.tree[l.b] and g.taken[g.tree[l.a]] & g.taken[g.tree[l.b]] = 0 as can
+    from greedy g join link l on l.sub = g.sub and l.c = g.c and l.k = g.k + 1))"""
+)
+
 ORACLE = {
+    "greedy_links": f"with recursive {_GREEDY} select g.sub as submission_id, g.c as component, x.u as a_uid, y.u as b_uid, g.w from greedy g join member x on x.sub = g.sub and x.c = g.c and x.i = g.a join member y on y.sub = g.sub and y.c = g.c and y.i = g.b where took",
+    "submission_outcomes": f"with recursive {_ROOTS}, l as (select sub, count(*) as n from chosen group by 1), o as (select sub, count(distinct f) between 3 and 5 as good, count(*) as n from obs group by 1), p as (select sub, count(*) as n from parts group by 1) select o.sub as submission_id, case when good then 200 else 400 end::bigint as status, case when good then 0 else 1 end::bigint as n_issues, case when good then o.n end as observation_count, case when good then coalesce(l.n, 0) end as link_count, case when good then p.n end as total_particles from o join p on p.sub = o.sub left join l on l.sub = o.sub",
+    "order_issues": f"{_ORDERS}, all_ as (select submission_id, f, p, axis, path, message from twice where nth > 1 union all select * from odd union all select l_orderkey, -1, 0, 0, 'fields', '视野数量必须为 3 ~ 5 个，当前为 ' || count(distinct f) || ' 个' from rows_ group by 1 having count(distinct f) not between 3 and 5 union all select distinct l_orderkey, -2, 0, 0, 'tolerance', '容差必须是 0 ~ 1000000 的整数' from rows_ where l_orderkey % 5 = 0), n as (select *, row_number() over (partition by submission_id order by f, p, axis) - 1 as ord from all_) select o.submission_id, case when ord is null then 200 else 400 end::bigint as status, ord, path, message from (select distinct l_orderkey as submission_id from lineitem) o left join n on n.submission_id = o.submission_id and n.ord < 50",
     "observations_expand": f"with {_OBS} select sub as submission_id, uid, f::bigint as field_idx, pidx as particle_idx, 'F' || (f + 1) as field_name, id as particle_id, cat as category, fx - 100 * f as local_x, fy + 50 * f as local_y, fx as filter_x, fy as filter_y from obs",
     "candidate_links": f"with {_EDGES} select sub as submission_id, cat as category, ida as a_id, idb as b_id, w from edges",
     "candidate_links_banded": f"with {_EDGES} select sub as submission_id, cat as category, ida as a_id, idb as b_id, w from edges",
@@ -222,6 +268,6 @@ ORACLE = {
     "validation_issues_fields": "select l_orderkey as submission_id, 'fields' as path, '视野数量必须为 3 ~ 5 个，当前为 ' || count(distinct l_linenumber % 5) || ' 个' as message from lineitem group by l_orderkey having count(distinct l_linenumber % 5) not between 3 and 5",
     "validation_issues_ids": f"{_ORDERS} select submission_id, path, message from twice where nth > 1",
     "validation_issues_coords": f"{_ORDERS} select submission_id, path, message from odd",
-    "issues_capped": f"{_ORDERS}, both_ as (select submission_id, f, p, axis, path, message from twice where nth > 1 union all select * from odd), n as (select *, row_number() over (partition by submission_id order by f, p, axis) - 1 as ord from both_) select submission_id, ord, path, message from n where ord < 3",
+    "issues_capped": f"{_ORDERS}, both_ as (select submission_id, f, p, axis, path, message from twice where nth > 1 union all select * from odd), n as (select *, row_number() over (partition by submission_id order by f, p, axis) - 1 as ord from both_) select submission_id, ord, path, message from n where ord < 50",
     "normalise_names": "select n_nationkey, case when n_nationkey % 3 = 0 then 'F' || (n_nationkey + 1) else n_name end as field_name from nation",
 }

@@ -40,6 +40,28 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def _bodies(rows: DataFrame, tolerance: int) -> DataFrame:
+    """(submission_id, body) as the service gets them, from (submission_id, field_idx, place, name, offset, particle)."""
+    fields = rows.groupBy("submission_id", "field_idx").agg(F.first("name").alias("name"), F.first("offset").alias("offset"), F.transform(F.array_sort(F.collect_list(F.struct("place", "particle"))), lambda p: p["particle"]).alias("particles"))
+    listed = fields.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("field_idx", "name", "offset", "particles"))).alias("fields"))
+    return listed.select("submission_id", F.to_json(F.struct(F.lit(tolerance).alias("tolerance"), F.transform("fields", lambda f: f.dropFields("field_idx")).alias("fields"))).alias("body"))
+
+
+def event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as raw submissions: those of event_observations, as JSON."""
+    o = event_observations(spark, sf_dir)
+    particle = F.struct(F.col("particle_id").alias("id"), F.col("local_x").alias("x"), F.col("local_y").alias("y"), "category")
+    return _bodies(o.select("submission_id", "field_idx", F.col("particle_order").alias("place"), F.col("field_name").alias("name"), F.struct(F.col("offset_x").alias("x"), F.col("offset_y").alias("y")).alias("offset"), particle.alias("particle")), 2)
+
+
+def order_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of order_fields as raw submissions; most have issues. Every fifth has a tolerance that is none."""
+    particle = F.struct(F.col("particle_id").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "category")
+    rows = order_fields(spark, sf_dir).select("submission_id", "field_idx", F.col("particle_idx").alias("place"), F.lit(None).cast("string").alias("name"), F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")).alias("offset"), particle.alias("particle"))
+    bodies = _bodies(rows, 1)
+    return bodies.withColumn("body", F.when(F.col("submission_id") % 5 == 0, F.regexp_replace("body", '"tolerance":1', '"tolerance":1.5')).otherwise(F.col("body")))
+
+
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate rows from the lineitem table for validation: an order is a submission, l_linenumber modulo 5 its field."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from fieldmerge.operators import components
 from fieldmerge.operators.expand import expand
 from fieldmerge.operators.forest import WorkExceeded, best_forest
 from fieldmerge.plans.adjudicate import adjudicate
@@ -50,6 +51,16 @@ def test_hand_made_cases(spark):
     assert [o["field_name"] for o in first["observations"]] == ["F1", "F2"]
 
 
+def test_components_by_joins(spark, monkeypatch):
+    rnd = random.Random(8)
+    links = [(s, "c", a, b) for s in "xy" for a, b in ({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(35)} | {(i, i + 1) for i in range(100, 140)})]
+    table = spark.createDataFrame(links, "submission_id string, category string, a_uid int, b_uid int")
+    expected = sorted(components.components(table).collect())
+    assert len({r["component"] for r in expected}) > 3
+    monkeypatch.setattr(components, "MOST_IN_ROW", 60)
+    assert sorted(components.components(table).collect()) == expected
+
+
 def exhaustive(fields, ranks, links):
     edges = sorted(links)
     best = None

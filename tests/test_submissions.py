@@ -6,7 +6,7 @@ import pytest
 
 from fieldmerge.functions.geometry import round2
 from fieldmerge.functions.text import trimmed, utf16_length
-from fieldmerge.operators import validate
+from fieldmerge.operators import forest, validate
 from fieldmerge.plans.adjudicate import process_submissions
 from fieldmerge.streaming.submissions import submission_stream, write_outcomes
 
@@ -53,7 +53,12 @@ def outcomes(spark):
     empty = doc(fields=[field([]), field([]), field([])])
     rows = [("sample", json.dumps(doc())), ("many", json.dumps(many)), ("crowded", json.dumps(crowded)), ("empty", json.dumps(empty)), ("large", " " * (validate.MOST_BYTES + 1)), ("null", None)]
     rows += [(name, body) for name, (body, _) in BAD.items()]
-    return {r["submission_id"]: r for r in process_submissions(spark.createDataFrame(rows, "submission_id string, body string")).collect()}
+    dense = [field([{"id": f"{f}-{i}", "x": i % 4, "y": i // 4, "category": "PE"} for i in range(12)]) for f in range(5)]
+    lone = '{"tolerance": 1, "fields": [' + ",".join('{"name": "\\ud83d", "offset": {"x": 0, "y": 0}, "particles": [%s]}' % p for p in ('{"id": "\\ud800", "x": 0, "y": 0, "category": "c"}', '{"id": "\\ud83d\\ude00", "x": 0, "y": 0, "category": "c"}', "")) + "]}"
+    rows += [("dense", json.dumps(doc(tolerance=2, fields=dense))), ("lone", lone), ("twice", json.dumps(doc())), ("twice", json.dumps(empty)), (None, json.dumps(doc())), (None, "[]")]
+    found = process_submissions(spark.createDataFrame(rows, "submission_id string, body string")).collect()
+    assert len(found) == len(rows)
+    return {r["submission_id"]: r for r in found if r["submission_id"] not in ("twice", None)} | {"several": [r for r in found if r["submission_id"] in ("twice", None)]}
 
 
 def test_sample(outcomes):
@@ -80,6 +85,27 @@ def test_limits(outcomes):
     assert outcomes["empty"]["status"] == 200 and outcomes["empty"]["result"]["totalParticles"] == 0
 
 
+def test_each_body_by_itself(outcomes):
+    """One component that is too hard, odd text, and null or repeated ids don't touch other submissions."""
+    assert (outcomes["dense"]["status"], outcomes["dense"]["result"]) == (422, None)
+    assert outcomes["dense"]["error_message"] == forest.SAY_WORK % forest.WORK
+    lone = outcomes["lone"]
+    assert (lone["status"], lone["result"]["totalParticles"]) == (200, 1)
+    assert [(o["fieldName"], o["particleId"]) for p in lone["result"]["particles"] for o in p["observations"]] == [("\\ud83d", "\\ud800"), ("\\ud83d", "😀")]
+    several = [(r["submission_id"], r["status"], r["result"] and r["result"]["totalParticles"]) for r in outcomes["several"]]
+    assert sorted(several, key=str) == [("twice", 200, 0), ("twice", 200, 5), (None, 200, 5), (None, 400, None)]
+
+
+def test_cap(spark):
+    rows = [(s, i, f"p{i}", "m") for s, n in (("a", 5), ("b", 3), ("c", 1)) for i in range(n)]
+    out = validate.capped(spark.createDataFrame(rows, "submission_id string, place int, path string, message string"), ["place"], 3).collect()
+    assert sorted((r["submission_id"], r["ord"], r["path"]) for r in out) == [(s, i, f"p{i}") for s, n in (("a", 3), ("b", 3), ("c", 1)) for i in range(n)]
+
+
+def test_empty_table(spark):
+    assert process_submissions(spark.createDataFrame([], "submission_id string, body string")).count() == 0
+
+
 def test_functions(spark):
     row = spark.createDataFrame([("﻿　 a b \t", "😀é")], "t string, u string").select(trimmed("t").alias("t"), utf16_length("u").alias("n")).first()
     assert (row["t"], row["n"]) == ("a b", 3)
