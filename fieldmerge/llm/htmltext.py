@@ -2,7 +2,8 @@
 
 Blocks of text are gathered by their path of tags from the root. A path's ratios are its text and its punctuation
 per block; smoothed along the page, multiplied and cut at a threshold they tell which paths carry the content, and the
-smallest element around these is the article. Its blocks are the result, less those that mark themselves as something else.
+smallest element around these is the article. Its blocks are the result, less those in containers whose ratios are faint
+beside the content's, and less those that mark themselves as something else.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Neighbouring paths count with these weights; a path is content if its fused ratio is at least CUT standard deviations.
 KERNEL, CUT = (0.25, 0.5, 0.25), 0.5
+#: Within the article, a container whose text has less than this part of the content's ratios for each block is left out.
+FAINT = 0.004
 
 # Elements and names of the HTML standard and of common page templates.
 RAW = frozenset("script style template noscript textarea title svg math iframe object audio video canvas select option".split())
@@ -37,6 +40,8 @@ LEFT_OUT_NAMES = frozenset(
 NO, MARK, SURE, MOST = 0, 1, 2, 0.5
 COMMENT_NAMES = frozenset("comment comments comentarios commentaires kommentare disqus replies respond".split())
 TITLE_NAMES = frozenset("article entry post story".split())
+#: A name such as with-sidebar or no-comments tells what its element holds or lacks, not what it is.
+QUALIFIERS = frozenset("no not without with has".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -51,7 +56,9 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                names += re.split(r"[^a-z]+", value)
+                for name in value.split():
+                    parts = re.split(r"[^a-z]+", name)
+                    names += parts if QUALIFIERS.isdisjoint(parts) else ["-".join(parts)]
             elif key == "role" and value in LEFT_OUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 return SURE, tag
     if tag in LEFT_OUT_TAGS and tag != "form" or tag == "header" and not in_article:
@@ -158,14 +165,20 @@ def _judged(found: list[tuple[tuple[str, ...], str, tuple[int, ...], bool]], lif
     return [(path, text, sure or any(m not in lifted and not (m in heads and is_head(path)) for m in marked)) for path, text, marked, sure in found]
 
 
-def content_paths(kept: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, ...]]:
-    """The paths whose smoothed, fused ratios reach the threshold, in order of their first block."""
+def _sums(kept: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ...], list[int]]:
+    """Text, punctuation and blocks of each path, in order of its first block."""
     order: dict[tuple[str, ...], list[int]] = {}
     for path, text in kept:
         sums = order.setdefault(path, [0, 0, 0])
         sums[0] += len(text)
         sums[1] += len(_PUNCTUATION.findall(text))
         sums[2] += 1
+    return order
+
+
+def content_paths(kept: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, ...]]:
+    """The paths whose smoothed, fused ratios reach the threshold, in order of their first block."""
+    order = _sums(kept)
     sums = np.array(list(order.values()), float)
     ratios = sums[:, :2] / sums[:, 2:]
     padded = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
@@ -174,6 +187,27 @@ def content_paths(kept: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, ..
     return [p for p, f in zip(order, fused, strict=True) if f >= min(CUT * fused.std(), fused.max())]
 
 
+def _faint(inside: list[tuple[tuple[str, ...], str]], root: tuple[str, ...], chosen: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The paths of containers within the root that hold no content path, and whose ratios, fused, are faint beside those of
+    the content: lists of links, dates and the like. Containers of headings alone aren't."""
+    fused = lambda sums: sums[0] / sums[2] * (1 + sums[1] / sums[2])
+    held: dict[tuple[str, ...], list[tuple[tuple[str, ...], str]]] = {}
+    for path, text in inside:
+        at = next((i for i in range(len(root), len(path)) if path[i].split(".")[0] not in LEAF), None)
+        if at is not None:
+            held.setdefault(path[: at + 1], []).append((path, text))
+    content = [fused(s) for p, s in _sums(inside).items() if p in chosen]
+    if not content:
+        return set()
+    out = set()
+    for prefix, own in held.items():
+        headings = all(re.fullmatch("h[1-6]", p[-1].split(".")[0]) for p, _ in own)
+        whole = _sums([((), t) for _, t in own])[()]
+        if not headings and chosen.isdisjoint(p for p, _ in own) and fused(whole) < FAINT * max(content):
+            out.add(prefix)
+    return out
+
+
 def main_text(page: str) -> str:
     """The text of the page's article, or the empty string."""
     kept = [(path, text) for path, text, out in blocks(page) if not out]
@@ -194,10 +228,11 @@ def main_text(page: str) -> str:
         root = min(named, key=len)
     while root and root[-1].split(".")[0] in LEAF:
         root = root[:-1]
-    inside = [text for path, text in kept if path[: len(root)] == root]
-    if not any(path[: len(root)] == root and any(x.split(".")[0] == "h1" for x in path) for path, _ in kept):
-        inside = [text for path, text in kept if path[: len(root)] == root or path and path[-1].split(".")[0] == "h1"]
-    return " ".join(inside)
+    is_in = lambda path: path[: len(root)] == root
+    faint = _faint([x for x in kept if is_in(x[0])], root, chosen)
+    is_faint = lambda path: any(path[:i] in faint for i in range(len(root) + 1, len(path) + 1))
+    titled = any(is_in(path) and any(x.split(".")[0] == "h1" for x in path) for path, _ in kept)
+    return " ".join(text for path, text in kept if is_in(path) and not is_faint(path) or not titled and path and path[-1].split(".")[0] == "h1")
 
 
 def extracted(pages: DataFrame) -> DataFrame:

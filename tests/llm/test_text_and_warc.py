@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 from fieldmerge.llm import htmltext, warc
 from fieldmerge.llm.queries import op8_warc
@@ -107,3 +108,53 @@ def test_wrappers_that_only_name_something_else():
         assert htmltext.main_text(page(split)) == htmltext.main_text(page(split, "div")) == text, head
     assert htmltext.main_text(page(body[14:], "div", "<div class=site-header><h1>Site</h1></div>")) == text[6:]
     assert htmltext.main_text(page("<h1>Title</h1><p>Short.</p>", before=f"<div class=ad>{PARAGRAPH * 3}</div>")) == "Title Short."
+
+
+LONG = "Ein langer Absatz, der etwas sagt: viel, wenig, nichts. Und noch ein Satz, damit er lang genug ist; so ist es. " * 3
+
+
+def plain(path, *texts):
+    """Text within elements without names: the path's tags, each text in the last of them."""
+    tags = path.split()
+    return "".join(f"<{t}>" for t in tags[:-1]) + "".join(f"<{tags[-1]}>{x}</{tags[-1]}>" for x in texts) + "".join(f"</{t}>" for t in reversed(tags[:-1]))
+
+
+def test_ratios_decide_without_names(monkeypatch):
+    """No article, no main, no class: only the ratios tell the content from what is around it."""
+    page = "<body>" + plain("div ul li", *(f"Entry number {i}" for i in range(60))) + "<div><section><h1>Title</h1>" + "".join(f"<p>{LONG}{i}.</p>" for i in range(4)) + "</section></div>" + plain("div div span", "Impressum") + plain("section ul li", "One", "Two") + "</body>"
+    expected = " ".join(["Title", *(f"{LONG}{i}." for i in range(4))])
+    assert htmltext.main_text(page) == expected
+    monkeypatch.setattr(htmltext, "content_paths", lambda kept: [p for p, _ in kept])  # no threshold
+    assert htmltext.main_text(page) != expected
+
+
+def test_faint_containers_within_the_article(monkeypatch):
+    page = f"<article><h1>T</h1><p>{LONG}</p><div>" + plain("ul li", "Link one", "Link two") + f"</div><header><h2>Part</h2></header><section><p>Short, but said.</p></section><p>{LONG}</p><ul><li>kept</li></ul></article>"
+    expected = " ".join(["T", LONG.strip(), "Part", "Short, but said.", LONG.strip(), "kept"])
+    assert htmltext.main_text(page) == expected
+    monkeypatch.setattr(htmltext, "FAINT", 0)
+    assert "Link one" in htmltext.main_text(page)
+
+
+def test_content_paths_against_brute_force():
+    rnd = random.Random(4)
+    for _ in range(60):
+        paths = [tuple(rnd.choice(["div", "p", "li", "td"]) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(1, 6))]
+        kept = [(rnd.choice(paths), "".join(rnd.choice("abc,. ") for _ in range(rnd.randint(1, 80)))) for _ in range(rnd.randint(1, 30))]
+        order = list(dict.fromkeys(p for p, _ in kept))
+        texts = {p: [t for q, t in kept if q == p] for p in order}
+        length = [sum(map(len, texts[p])) / len(texts[p]) for p in order]
+        marks = [sum(t.count(",") + t.count(".") for t in texts[p]) / len(texts[p]) for p in order]
+        around = lambda x, i: 0.25 * x[max(i - 1, 0)] + 0.5 * x[i] + 0.25 * x[min(i + 1, len(x) - 1)]
+        whole = sum(len(t) for _, t in kept)
+        fused = [around(length, i) * (1 + around(marks, i)) * sum(map(len, texts[p])) / whole for i, p in enumerate(order)]
+        mean = sum(fused) / len(fused)
+        cut = min(0.5 * (sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5, max(fused))
+        if min(abs(f - cut) for f in fused) > 1e-9:
+            assert htmltext.content_paths(kept) == [p for p, f in zip(order, fused, strict=True) if f >= cut]
+
+
+def test_wrappers_with_telling_names():
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    for page in (f'<div class="layout with-sidebar"><article>{body}</article></div>', f'<div class="no-comments">{body}</div>', f'<div class="post"><div class="post-header"><h1>Title</h1></div><p>{LONG}</p><p>{LONG}</p></div>'):
+        assert htmltext.main_text(f"<body>{page}</body>") == f"Title {LONG}{LONG}".strip()
