@@ -50,10 +50,11 @@ def _one(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """The record whose version line is at `at`: headers (lower-case names), block and end. Raises ValueError if a check fails."""
     if not (line := _VERSION.match(data, at)):
         raise ValueError("no version line")
-    stop = next((x for x in (data.find(b"\r\n\r\n", at), data.find(b"\n\n", at)) if x >= 0), -1)
+    blank = b"\r\n\r\n" if line[0].endswith(b"\r\n") else b"\n\n"  # headers end as the version line does
+    stop = data.find(blank, line.end() - len(blank) // 2)
     if stop < 0:
         raise ValueError("headers break off")
-    gap = 4 if data[stop : stop + 4] == b"\r\n\r\n" else 2
+    gap = len(blank)
     headers, last = {}, None
     for row in re.split("\r?\n", data[line.end() : stop].decode("utf-8", "replace")) if stop > line.end() else []:
         if row[:1] in (" ", "\t") and last is not None:  # a folded line goes on with the one before
@@ -190,19 +191,25 @@ def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
     joined = rows.join(first, "hash", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
     def pack(batches):
-        held, size, name = [], 0, ""
+        held, size, first = [], 0, None
+
+        def whole():
+            data = b"".join(held)  # equal names only where all bytes are equal
+            name = f"pages-{first}-{hashlib.sha1(data).hexdigest()[:16]}"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["archive", "data"])
+
         for b in batches:
             data, at = text_buffer(b.column(2))
             for i, (number, url, to) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 payload = data[at[i] : at[i + 1]].tobytes()
+                first = number if not held else first
                 held.append(record(number, url, payload, payload_digest(payload), to))
                 size += len(held[-1])
-                name = name or f"pages-{number}"
                 if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], ["archive", "data"])
-                    held, size, name = [], 0, ""
+                    yield whole()
+                    held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], ["archive", "data"])
+            yield whole()
 
     return written(joined.mapInArrow(pack, "archive string, data binary"), "warc")
 

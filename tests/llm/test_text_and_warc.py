@@ -158,3 +158,14 @@ def test_wrappers_with_telling_names():
     body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
     for page in (f'<div class="layout with-sidebar"><article>{body}</article></div>', f'<div class="no-comments">{body}</div>', f'<div class="post"><div class="post-header"><h1>Title</h1></div><p>{LONG}</p><p>{LONG}</p></div>'):
         assert htmltext.main_text(f"<body>{page}</body>") == f"Title {LONG}{LONG}".strip()
+
+
+def test_records_with_line_feeds_only():
+    def plain_record(name, block, end):
+        head = end.join(["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <{name}>", f"Content-Length: {len(block)}"])
+        return (head + 2 * end).encode() + block + (2 * end).encode()
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    data = plain_record("a", http, "\n") + plain_record("b", http, "\n") + plain_record("c", http, "\r\n")
+    found = list(warc.salvage(data))
+    assert [(k, h.get("warc-record-id"), b) for k, _, _, h, b, _ in found] == [("record", f"<{n}>", http) for n in "abc"]
