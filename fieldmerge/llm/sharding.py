@@ -18,7 +18,7 @@ from fieldmerge.llm.common import written
 
 SHARDS, OVERHEAD = 40, 16
 #: Probes for each splitter and round; a splitter may miss its share by this part of a shard, and by WHOLE_GROUP of a
-#: shard to leave the rows of one text together.
+#: shard, or by the largest row, to leave the rows of one text together.
 PROBES, TOLERANCE, WHOLE_GROUP, ROUNDS = 16, 0.002, 0.02, 40
 #: Slots are numbered in parts of about so many rows, so no task sorts a whole shard.
 PART_ROWS = 50_000
@@ -60,9 +60,9 @@ def _bytes_below(keys: DataFrame, probes: list[int]) -> np.ndarray:
     return np.cumsum(sums)[:-1]
 
 
-def find_splitters(keys: DataFrame, total: int, shards: int, tolerance: float = TOLERANCE, whole_group: float = WHOLE_GROUP) -> list[int]:
+def find_splitters(keys: DataFrame, total: int, shards: int, tolerance: float = TOLERANCE, whole_group: float = WHOLE_GROUP, largest: int = 0) -> list[int]:
     """The keys at which shards 1 to shards - 1 begin. A boundary that falls within the rows of one text moves to their
-    nearer edge if that costs whole_group of a shard at most; else they are divided by doc_id."""
+    nearer edge if that costs whole_group of a shard at most, or the largest row's bytes; else they are divided by doc_id."""
     wanted = [total * j / shards for j in range(1, shards)]
     low, high = [0] * len(wanted), [_TOP] * len(wanted)
     bytes_at = {0: 0, _TOP: total}
@@ -96,7 +96,7 @@ def find_splitters(keys: DataFrame, total: int, shards: int, tolerance: float =
                 done[j] = near
             elif low[j] >> 64 == (high[j] - 1) >> 64:
                 edges = [p for p in (low[j] >> 64 << 64, ((low[j] >> 64) + 1) << 64) if p in bytes_at]
-                if edges and abs(bytes_at[best := min(edges, key=lambda p: abs(bytes_at[p] - want))] - want) <= total / shards * whole_group:
+                if edges and abs(bytes_at[best := min(edges, key=lambda p: abs(bytes_at[p] - want))] - want) <= max(largest, total / shards * whole_group):
                     done[j] = best
         if len(done) == len(wanted):
             break
@@ -107,15 +107,16 @@ def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, tol
     """doc_id, size, text_crc32, shard and slot for each row of docs (doc_id long, text), and its columns `keep`; one of
     these that has such a name itself gets _of_input behind it.
 
-    size: UTF-8 bytes of the text (null: 0) plus overhead; shards have nearly equal sizes. slot numbers the rows of a
+    size: UTF-8 bytes of the text (null: 0) plus overhead; shards have nearly equal sizes. Rows of one text share a shard,
+    unless that would shift a boundary by more than find_splitters allows. slot numbers the rows of a
     shard from 0 without gaps. Rows of equal text and doc_id can't be told apart: they stay in one shard and take its
     slots in any order. A null text counts as empty, a null doc_id as the smallest. An empty table gives no rows."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     # the columns' own names don't matter: ours are taken from expressions over docs and prefixed
     made = [docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(text).alias("_hash"), (F.octet_length(text) + overhead).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc")]
     keys = written(docs.select(*made), "keys")
-    n, total = keys.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
-    bounds = _as_bytes(find_splitters(keys, total, shards, tolerance, whole_group)) if n else np.zeros(0, "S16")
+    n, total, largest = keys.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0)), F.max("_size")).first()
+    bounds = _as_bytes(find_splitters(keys, total, shards, tolerance, whole_group, largest)) if n else np.zeros(0, "S16")
 
     def place(batches):
         for b in batches:

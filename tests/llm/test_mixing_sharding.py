@@ -95,3 +95,22 @@ def test_even_shards_and_hot_text(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixing_plan(none).count() == mixing.mixed(none).count() == sharding.sharded(none).count() == 0
+
+
+def test_a_text_keeps_to_one_shard(spark):
+    rows = [(i, "x" * (50 + i % 7)) for i in range(400)] + [(1000 + i, f"group {i % 9} " * 30) for i in range(90)] + [(5000, "y" * 4000)]
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).collect()
+    text = dict(rows)
+    shards = {}
+    for r in out:
+        shards.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert all(len(s) == 1 for t, s in shards.items() if t.startswith(("group", "y")))
+    assert len(out) == len(rows) and len({(r["shard"], r["slot"]) for r in out}) == len(rows)
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "a b c", "s")] * 3 + [(None, "a b c", None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.mixing_plan(docs).count() == 5
+    out = sharding.sharded(docs, shards=3).collect()
+    assert len(out) == 5 and len({(r["shard"], r["slot"]) for r in out}) == 5
