@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmerge.llm.common import BLOCK_BYTES, text_buffer
+from fieldmerge.llm.common import BLOCK_BYTES, text_buffer, written
 
-#: Letter trigrams are counted in 2**BUCKET_BITS buckets, so a model has languages x buckets numbers whatever the input.
-BUCKET_BITS, SMOOTHING, MOST_LANGUAGES = 15, 0.1, 1000
+#: Letter trigrams are counted in 2**BUCKET_BITS buckets, so a model has languages x buckets numbers whatever the input:
+#: 64 MB at most, and 130 MB of counts on their way to the driver. More languages are refused, loudly.
+BUCKET_BITS, SMOOTHING, MOST_LANGUAGES = 15, 0.1, 256
 #: Rounds of expectation-maximisation at most; a language costs PENALTY * log(trigrams) / 2; weights below LEAST_SHARE go.
 ROUNDS, PENALTY, LEAST_SHARE = 25, 2.0, 0.02
 
@@ -82,12 +83,14 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(own[used])], ["lang", "bucket", "n"])
 
     rows = labelled.select(labelled["text"].cast("string").alias("text"), labelled["lang"].cast("string").alias("lang")).mapInArrow(count, "lang string, bucket int, n long")
-    found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES * BUCKETS + 1).toPandas()
-    names = sorted(found["lang"].unique())
+    summed = written(rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    names = sorted(r[0] for r in summed.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    numbers = summed.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "lang string, number int")
+    found = summed.join(F.broadcast(numbers), "lang").select("number", "bucket", "n").toArrow()  # MOST_LANGUAGES x BUCKETS rows at most
     counts = np.full((len(names), BUCKETS), SMOOTHING)
-    counts[[names.index(x) for x in found["lang"]], found["bucket"].to_numpy(int)] += found["n"].to_numpy(float)
+    counts[np.asarray(found["number"]), np.asarray(found["bucket"])] += np.asarray(found["n"])
     return names, (counts / counts.sum(axis=1, keepdims=True))
 
 
