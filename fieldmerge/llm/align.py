@@ -8,6 +8,8 @@ import numpy as np
 
 #: What a matching word adds; a differing, missing or additional word costs 1.
 MATCH = 2
+#: Cells (4 bytes each) that an alignment holds whole; of larger ones it holds some rows.
+CELLS = 4 << 20
 
 
 @dataclass
@@ -22,38 +24,65 @@ def align(a: np.ndarray, b: np.ndarray, low: int | None = None, high: int | None
     """The best local (Smith-Waterman) alignment of a and b along the diagonals j - i from low to high (all by default).
 
     A row of cells at a time: column c is diagonal low + c, so a step in both stays in its column, one in a alone comes
-    from column c + 1 of the row before, and steps in b alone are a running maximum."""
+    from column c + 1 of the row before, and steps in b alone are a running maximum. Where the cells are more than CELLS,
+    only one row of each square root of them is held, and the way back computes the rows between again."""
     low = -len(a) if low is None else low
     high = len(b) if high is None else high
     width = max(1, high - low + 1)
-    cells = np.zeros((len(a) + 1, width + 1), np.int32)
+    step = max(1, len(a) if len(a) * width <= CELLS else int(len(a) ** 0.5))
     ramp = np.arange(width, dtype=np.int32)
-    for i, word in enumerate(a):
-        j0 = i + low
-        first, end = min(max(0, -j0), width), max(0, min(width, len(b) - j0))
-        if first >= end:
-            continue
-        before, row = cells[i], cells[i + 1]
-        step = np.where(b[j0 + first : j0 + end] == word, MATCH, -1) + before[first:end]
-        np.maximum(step, before[first + 1 : end + 1] - 1, out=step)
-        np.maximum(step, 0, out=step)
-        row[first:end] = np.maximum.accumulate(step + ramp[first:end]) - ramp[first:end]
-    if not cells.any():
+    cells = np.zeros((step + 1, width + 1), np.int32)
+
+    def fill(begin: int) -> int:
+        """Rows behind row `begin`, which is cells[0], to the next that is held; gives their number."""
+        count = min(step, len(a) - begin)
+        for k in range(count):
+            row = cells[k + 1]
+            row[:] = 0
+            j0 = begin + k + low
+            first, end = min(max(0, -j0), width), max(0, min(width, len(b) - j0))
+            if first >= end:
+                continue
+            before = cells[k]
+            own = np.where(b[j0 + first : j0 + end] == a[begin + k], MATCH, -1) + before[first:end]
+            np.maximum(own, before[first + 1 : end + 1] - 1, out=own)
+            np.maximum(own, 0, out=own)
+            row[first:end] = np.maximum.accumulate(own + ramp[first:end]) - ramp[first:end]
+        return count
+
+    held, score, i, c = {}, 0, 0, 0
+    for begin in range(0, len(a), step):
+        held[begin] = cells[0].copy()
+        count = fill(begin)
+        k, at = (int(x) for x in np.unravel_index(cells[1 : count + 1].argmax(), (count, width + 1)))
+        if cells[k + 1, at] > score:
+            score, i, c = int(cells[k + 1, at]), begin + k + 1, at
+        cells[0] = cells[count]
+    if not score:
         return Alignment(0, 0, (0, 0), (0, 0))
-    i, c = (int(x) for x in np.unravel_index(cells.argmax(), cells.shape))
-    score, matched, ends, firsts = int(cells[i, c]), 0, (i, i + low + c), (i, i + low + c)
-    while i > 0 and cells[i, c] > 0:
+    ends, matched, firsts = (i, i + low + c), 0, (i, i + low + c)
+    begin = -1
+    if step >= len(a):
+        begin, cells[0] = 0, 0  # all rows are here still
+    while i > 0:
+        if (i - 1) // step * step != begin:
+            begin = (i - 1) // step * step
+            cells[0] = held[begin]
+            fill(begin)
+        k = i - begin
+        if cells[k, c] <= 0:
+            break
         j = i + low + c  # this cell ends with a[i - 1] and b[j - 1]: diagonal (j - 1) - (i - 1)
         same = 0 < j <= len(b) and b[j - 1] == a[i - 1]
-        if cells[i, c] == cells[i - 1, c] + (MATCH if same else -1):
+        if cells[k, c] == cells[k - 1, c] + (MATCH if same else -1):
             matched += same
             i -= 1
-        elif c + 1 <= width and cells[i, c] == cells[i - 1, c + 1] - 1:
+        elif c + 1 <= width and cells[k, c] == cells[k - 1, c + 1] - 1:
             i, c = i - 1, c + 1
         else:
             c -= 1
         firsts = (i, i + low + c)
-    return Alignment(score, matched, firsts, ends)
+    return Alignment(score, int(matched), firsts, ends)
 
 
 class GramTable:

@@ -19,6 +19,44 @@ def smith_waterman(a, b):
     return cells.max()
 
 
+def test_alignment_of_held_rows(monkeypatch):
+    rnd = np.random.default_rng(3)
+    for _ in range(80):
+        a, b = (rnd.integers(0, 4, rnd.integers(1, 60)) for _ in range(2))
+        band = () if rnd.random() < 0.5 else (int(rnd.integers(-20, 0)), int(rnd.integers(0, 20)))
+        whole = align(a, b, *band)
+        with monkeypatch.context() as patch:
+            patch.setattr("fieldmerge.llm.align.CELLS", 1)
+            assert align(a, b, *band) == whole
+
+
+def test_long_item(spark):
+    rnd = random.Random(12)
+    item = [f"w{rnd.randrange(3000)}" for _ in range(3000)]
+    edited = [x if rnd.random() < 0.9 else "zz" for x in item]
+    docs = spark.createDataFrame([(1, "before " * 50 + " ".join(edited) + " after" * 50), (2, " ".join(item[:300])), (1, " ".join(item))], "doc_id long, text string")
+    out = decontam.contaminated(docs, spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "")], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"] == 1.0) for r in out) == [(1, 7, False), (1, 7, True)]
+
+
+def edited(words, rate, rnd):
+    return [x if rnd.random() >= rate else rnd.choice(["", "other", "new word"]) for x in words]
+
+
+def test_recall_by_edit_rate(spark):
+    """Of 60 items of 40 words, each hidden in a document of its own with a part of its words edited."""
+    rnd = random.Random(2)
+    items = [(i, [f"v{rnd.randrange(800)}" for _ in range(40)]) for i in range(60)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {}
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        rows = [(i, " ".join([f"n{rnd.randrange(900)}" for _ in range(80)] + edited(w, rate, rnd) + [f"n{rnd.randrange(900)}" for _ in range(80)])) for i, w in items]
+        hits = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+        assert all(d == i for d, i in hits)
+        found[rate] = len(hits) / len(items)
+    assert found[0.05] == found[0.1] == 1 and found[0.15] >= 0.95 and found[0.2] >= 0.9, found
+
+
 def test_alignment():
     rnd = np.random.default_rng(3)
     for _ in range(200):
