@@ -404,6 +404,30 @@ def _marks_of(slices: DataFrame, span: int, least: int, cell: int, most: int) ->
     return _sorted_marks(slices.join(hot, "anchor", "left_anti"), span, least).union(back)
 
 
+def _edges(ranges: pa.ListArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each kind and byte of a block how many covered ranges begin there less those that end there; and which rows have
+    any. ranges: for each row a list of (starts, kind, first, end): the ranges [first, end) behind each of the starts."""
+    edges = np.zeros((2, int(at[-1]) + 1), np.int32)
+    ranges = ranges.fill_null([]) if ranges.null_count else ranges
+    count = np.diff(np.asarray(ranges.offsets)).astype(np.int64)
+    held = ranges.flatten()
+    if not len(held):
+        return edges, count > 0
+    starts, kind, first, end = held.flatten()
+    begin = np.asarray(starts.offsets)[:-1].astype(np.int64) - starts.offsets[0].as_py()
+    inner = np.asarray(first.offsets)[:-1].astype(np.int64) - first.offsets[0].as_py()
+    many, wide = (np.diff(np.asarray(x.offsets)).astype(np.int64) for x in (starts, first))
+    # each start with each range: the pairs of a record, numbered
+    record = np.repeat(np.arange(len(held)), many * wide)
+    number = np.arange(len(record)) - np.repeat(np.cumsum(many * wide) - many * wide, many * wide)
+    base = np.repeat(at[:-1], count)[record] + np.asarray(starts.flatten())[begin[record] + number // wide[record]]
+    place = inner[record] + number % wide[record]
+    kinds = np.asarray(kind)[record]
+    np.add.at(edges, (kinds, base + np.asarray(first.flatten())[place]), 1)
+    np.add.at(edges, (kinds, base + np.asarray(end.flatten())[place]), -1)
+    return edges, count > 0
+
+
 def _passages(text: np.ndarray, shared: np.ndarray, least_words: int) -> int:
     """Runs of shared bytes that hold so many whole words."""
     turns = np.flatnonzero(np.diff(np.concatenate(([0], shared.astype(np.int8), [0]))))
@@ -461,24 +485,21 @@ def without_repeats(docs: DataFrame, span: int = SPAN, least: int | None = None,
     ranges = found.union(whole).groupBy("id", "hash").agg(F.collect_set(F.struct("starts", "kind", "first", "end")).alias("ranges")).select(F.col("id").alias("of"), F.col("hash").alias("named"), "ranges")
 
     def finish(batches):
+        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passages": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
         for b in batches:
-            data, at = text_buffer(b.column(1))
-            out = []
-            for i in range(b.num_rows):
-                own = data[at[i] : at[i + 1]]
-                edges = np.zeros((2, len(own) + 1), np.int32)
-                ranges_ = b.column(2)[i].values
-                for r in ranges_ if ranges_ is not None else ():
-                    starts, edge = np.asarray(r["starts"].values), edges[r["kind"].as_py()]
-                    for x, sign in (("first", 1), ("end", -1)):
-                        np.add.at(edge, (starts[:, None] + np.asarray(r[x].values)[None, :]).ravel(), sign)
+            for i, end, data, at in text_blocks(b.column(1)):
+                edges, marked = _edges(b.column(2).slice(i, end - i), at)
                 gone, shared = np.cumsum(edges[:, :-1], axis=1) > 0
-                turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                removed = [{"start": int(x), "end": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)]
-                out.append((len(own), int(gone.sum()), len(removed), hashlib.sha256(own[~gone].tobytes()).hexdigest(), _passages(own, shared, passage_words), removed))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "removed"])
+                out = []
+                for r, doc in enumerate(b.column(0).slice(i, end - i).to_pylist()):
+                    own, lost = data[at[r] : at[r + 1]], gone[at[r] : at[r + 1]]
+                    if not marked[r]:
+                        out.append((doc, len(own), 0, 0, hashlib.sha256(own.tobytes()).hexdigest(), 0, []))
+                        continue
+                    turns = np.flatnonzero(np.diff(np.concatenate(([0], lost.astype(np.int8), [0]))))
+                    removed = [{"start": int(x), "end": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)]
+                    out.append((doc, len(own), int(lost.sum()), len(removed), hashlib.sha256(own[~lost].tobytes()).hexdigest(), _passages(own, shared[at[r] : at[r + 1]], passage_words), removed))
+                yield _batch(out, kinds)
 
     same = keyed["id"].eqNullSafe(ranges["of"]) & (keyed["hash"] == ranges["named"])
     joined = keyed.join(ranges, same, "left").select("id", "text", "ranges")
