@@ -395,7 +395,7 @@ def _marks_of(slices: DataFrame, span: int, least: int, cell: int, most: int) ->
     names = [F.min("low").alias("low"), F.max("high").alias("high")]
     merged = pieces.groupBy("anchor", "print").agg(F.sum("copies").alias("copies"), (F.max("cross") | (F.min("low") != F.max("high"))).alias("cross"), *names, *(F.first(c).alias(c) for c in ("at", "wins", "bytes")))
     of_anchor = pieces.groupBy("anchor").agg(((F.min("print") != F.max("print")) & F.lit(cell > 1)).alias("many"), (F.max("cross") | (F.min("low") != F.max("high"))).alias("shared"))
-    merged = written(merged.join(of_anchor, "anchor"), "merged")
+    merged = written(written(merged, "merged").join(written(of_anchor, "anchors"), "anchor"), "merged")
     marks = _whole_marks(merged.where("not many"), span, least, F.col("copies") > 1, F.col("shared"), F.octet_length("bytes")).select("anchor", "print", "kind", "first", "end")
     if cell > 1:
         marks = marks.union(_marks_of(written(merged.where("many").select(*_NAMES), "split"), span, least, cell, most))
@@ -453,7 +453,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, least: int | None = None,
     rows = written(_slice_rows(keyed, span, least, k), "slices")
     # a row is one slice of one document, so two rows of an anchor and print are two documents
     kinds = rows.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n"), (F.min("print") != F.max("print")).alias("many"), (F.count("*") > 1).alias("shared")).where("n > 1").drop("n")
-    members = written(rows.join(kinds, "anchor"), "members")
+    members = written(rows.join(written(kinds, "kinds"), "anchor"), "members")  # written, so that Spark splits a hot anchor in the join
     doc = F.xxhash64("id", "hash")
     distinct = members.where("many").groupBy("anchor", "print").agg(F.sum(F.size("starts")).alias("copies"), (F.count("*") > 1).alias("cross"), F.min(doc).alias("low"), F.max(doc).alias("high"), F.min(F.struct("id", "hash", F.col("starts")[0].alias("start"), "length", "at", "wins")).alias("one"))
     distinct = distinct.select("anchor", "print", "copies", "cross", "low", "high", "one.*")
