@@ -18,6 +18,8 @@ from fieldmerge.llm.common import BLOCK_BYTES, text_buffer, written
 BUCKET_BITS, SMOOTHING, MOST_LANGUAGES = 15, 0.1, 256
 #: Rounds of expectation-maximisation at most; a language costs PENALTY * log(trigrams) / 2; weights below LEAST_SHARE go.
 ROUNDS, PENALTY, LEAST_SHARE = 25, 2.0, 0.02
+#: A text fits the learned languages if less of it than this stands in none of them.
+MOST_OUTSIDE = 0.5
 
 BUCKETS = 1 << BUCKET_BITS
 
@@ -134,13 +136,22 @@ def proportions(chances: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, f
     return out, fit
 
 
+def outside(chances: np.ndarray, buckets: np.ndarray) -> float:
+    """The share of a text's trigrams that no language explains: the weight of one more component, under which all
+    buckets are equally likely, in the mixture of all languages. Without languages that is all of the text."""
+    every = np.bincount(buckets, minlength=BUCKETS)
+    used = np.flatnonzero(every)
+    own = np.vstack([chances[:, used], np.full((1, len(used)), 1 / BUCKETS)])
+    return float(_mixture(own, every[used].astype(float), np.full(len(own), 1 / len(own)))[0][-1])
+
+
 def identified(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages and fits for each row of docs (doc_id, text; lang for learning).
 
     Learns from labelled (by default the rows of docs that have a lang and aren't held out). lang_pred is the language
     of the largest proportion (ties: the first by name), score that proportion, languages the selected set with its
     proportions. A text that is null or has no letter gets und, 0 and an empty map; so does every text where nothing
-    was learned. fits: the mixture explains the text better than evenly likely trigrams do. Only the text is used."""
+    was learned. fits: less than MOST_OUTSIDE of the text stands outside of all languages. Only the text is used."""
     if labelled is None:
         labelled = docs.where(docs["lang"].isNotNull() & ~is_held_out(docs["doc_id"]))
     names, chances = learn(labelled)
@@ -158,9 +169,9 @@ def identified(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
                     if not len(own) or not names:
                         out.append(("und", 0.0, [], False))
                         continue
-                    weights, fit = proportions(chances, own)
+                    weights, _ = proportions(chances, own)
                     best = int(weights.argmax())
-                    out.append((names[best], min(1.0, float(weights[best])), [(names[k], float(weights[k])) for k in np.flatnonzero(weights)], fit > -len(own) * np.log(BUCKETS)))
+                    out.append((names[best], min(1.0, float(weights[best])), [(names[k], float(weights[k])) for k in np.flatnonzero(weights)], outside(chances, own) < MOST_OUTSIDE))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.string(), pa.float64(), pa.map_(pa.string(), pa.float64()), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "held_out", "lang_pred", "score", "languages", "fits"])
@@ -170,7 +181,8 @@ def identified(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, whose text has letters and fits the learned languages. Learns as identified does."""
+    """The rows of docs, with their columns, whose text has letters and of which less than MOST_OUTSIDE stands outside of all
+    learned languages (without any language, every text with letters). Learns as identified does."""
     names, chances = learn(docs.where(docs["lang"].isNotNull() & ~is_held_out(docs["doc_id"])))
     model = docs.sparkSession.sparkContext.broadcast((names, chances))
     at_text = docs.columns.index("text")
@@ -183,7 +195,7 @@ def accepted(docs: DataFrame) -> DataFrame:
                 buckets, at = trigram_buckets(texts)
                 for i in range(len(texts)):
                     own = buckets[at[i] : at[i + 1]]
-                    fits.append(bool(len(own)) and (not names or proportions(chances, own)[1] > -len(own) * np.log(BUCKETS)))
+                    fits.append(bool(len(own)) and (not names or outside(chances, own) < MOST_OUTSIDE))
             yield b.filter(pa.array(fits, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
