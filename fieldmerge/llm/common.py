@@ -19,15 +19,15 @@ _MASK = (1 << 64) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    made = spark.sparkContext.getCheckpointDir()
-    if made is None:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of
+    our own; on a cluster, where executors couldn't see it, that fails."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldmerge-"))
-        made = spark.sparkContext.getCheckpointDir()
-    return made.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -24,6 +24,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranged(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each of `sums`, the running total up to the row itself, in the given order (which has no ties).
+
+    Rows are dealt into ranges of the order, which are summed by themselves; what stands before a range comes from a window
+    over the ranges, a row each. So no task holds more rows than a range."""
+    rows = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    totals = rows.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(written(starts, "starts"), "_range")
+    return joined.select(*(c for c in rows.columns if c != "_range"), *((F.col(f"_{n}") + F.sum(c).over(own)).alias(n) for n, c in sums.items()))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target, rate) from (source, size).
 
@@ -31,18 +45,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     the excess goes to the others by weight, until none is above. With caps c and weights w the result is
     min(c, w * level): with the first i sources in order of c / w full, the others' level is what is left over their
     weights. No choice of i gives more than the true level, and the true i gives it, so it is the largest. A source without words has target and rate 0."""
-    sums = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
-    capped = sums.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(most))
-    ordered = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.least(F.sum("source_size").over(everything) * F.lit(share), F.sum("most").over(everything)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    tried = capped.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    target = F.least(F.col("most"), F.col("level") * F.col("weight"))
+    summed = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
+    placed = _ranged(summed, [F.col("source").asc_nulls_last()], {"place": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    capped = placed.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("most") / F.col("weight"))
+    ordered = written(_ranged(capped, [F.col("ratio"), F.col("source").asc_nulls_last()], {"full": F.col("most"), "weighed": F.col("weight")}), "ordered")
+    words, full, weighed = (x or 0 for x in ordered.agg(F.sum("source_size"), F.sum("most"), F.sum("weight")).first())  # three numbers
+    level = (F.lit(float(min(words * share, full))) - (F.col("full") - F.col("most"))) / (F.lit(float(weighed)) - (F.col("weighed") - F.col("weight")))
+    highest = ordered.agg(F.max(level)).first()[0]
+    target = F.least(F.col("most"), F.lit(highest).cast("double") * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return tried.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
+    return ordered.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:

@@ -114,3 +114,36 @@ def test_repeated_rows(spark):
     assert mixing.mixing_plan(docs).count() == 5
     out = sharding.sharded(docs, shards=3).collect()
     assert len(out) == 5 and len({(r["shard"], r["slot"]) for r in out}) == 5
+
+
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(11)
+    sums = {f"s{i}": rnd.choice([0, 1, 5, 40, rnd.randint(1, 5000)]) for i in range(3000)} | {None: 300, "é": 7, "Z": 90_000}
+    rows = [(s, n // 2) for s, n in sums.items()] + [(s, n - n // 2) for s, n in sums.items()]
+    found = mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(5)).collect()
+    wanted = level(sums)
+    assert len(found) == len(sums) and all(r["target"] == pytest.approx(wanted[r["source"]], rel=1e-9) and r["source_size"] == sums[r["source"]] for r in found)
+
+
+def test_shards_by_plain_order(spark):
+    """Boundaries are where the rows' order by (hash of text, doc_id) reaches each share, to the largest row."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice([None, "", f"text {rnd.randint(0, 400)} " * rnd.randint(1, 9)])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sharding.sharded(docs, shards=8, whole_group=0.0, tolerance=0.0).collect()}
+    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(got, key=lambda i: (hashed[i], i))
+    assert [got[i]["shard"] for i in order] == sorted(r["shard"] for r in got.values())
+    total, below, largest = sum(r["size"] for r in got.values()), 0, max(r["size"] for r in got.values())
+    for i, before in zip(order[1:], order, strict=False):
+        below += got[before]["size"]
+        if got[i]["shard"] != got[before]["shard"]:
+            group = [j for j in order if hashed[j] == hashed[i]]
+            inside = hashed[i] == hashed[before]
+            room = 0 if inside else largest + sum(got[j]["size"] for j in group)
+            assert got[i]["shard"] == got[before]["shard"] + 1 and abs(below - total * got[i]["shard"] / 8) <= max(room, largest)
+    for k in range(8):
+        own = [i for i in order if got[i]["shard"] == k]
+        assert sorted(got[i]["slot"] for i in own) == list(range(len(own)))
