@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldmerge.plans.adjudicate import process_submissions
+from fieldmerge.plans.settled import scratch
 
 
 def submission_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -15,12 +16,11 @@ def submission_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def write_outcomes(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Write the outcomes of each micro-batch as Parquet in a folder of its own, so that a batch that is run again
-    replaces what it wrote before."""
+    replaces what it wrote before. The batch's intermediate tables go when its outcomes are written."""
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        process_submissions(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batch.unpersist()
+        with scratch(batch.sparkSession):
+            process_submissions(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

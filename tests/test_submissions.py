@@ -1,6 +1,7 @@
 """Raw submissions to outcomes, in a batch and as a stream."""
 
 import json
+import os
 
 import pytest
 
@@ -8,6 +9,7 @@ from fieldmerge.functions.geometry import round2
 from fieldmerge.functions.text import trimmed, utf16_length
 from fieldmerge.operators import forest, validate
 from fieldmerge.plans.adjudicate import process_submissions
+from fieldmerge.plans.settled import scratch, settled
 from fieldmerge.streaming.submissions import submission_stream, write_outcomes
 
 
@@ -120,3 +122,13 @@ def test_stream(spark, tmp_path):
     query = write_outcomes(submission_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert [r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [200]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert not [x for x in os.listdir(shared) if x.startswith("scratch-")]
+
+
+def test_scratch_is_removed_after_failures(spark):
+    with pytest.raises(RuntimeError), scratch(spark):
+        made = settled(spark.range(3))
+        assert made.count() == 3
+        raise RuntimeError
+    assert not [x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x.startswith("scratch-")]
