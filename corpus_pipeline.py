@@ -59,7 +59,8 @@ STAGES = [
     ("sharding", deal_into_shards),
 ]
 
-#: SQL can't express the stages (mixtures, minwise signatures, alignment); tests hold the pipeline against brute force.
+#: SQL can't express the stages (mixtures, minwise signatures, alignment). tests/llm holds their operators against plain
+#: computations or planted cases, and the stages against odd tables; no test recomputes a whole run.
 ORACLE_SQL = None
 
 
