@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmerge.llm import decontam, gif, htmltext, langid, licenses, minhash, mixing, sharding, suffix, warc
+from fieldmerge.llm import audit, decontam, gif, htmltext, langid, licenses, minhash, mixing, runs, secrets, sharding, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif_media, op2_suffix_dedup, op3_language, op4_mixing, op5_sharding, op6_minhash, op7_main_text, op8_warc, op9_decontamination, op10_licenses)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(secrets.secrets(_table(spark, sf_dir, "documents")))
 
-ORACLE = {"op4_mixing": mixing.MIXING_SQL}
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(_table(spark, sf_dir, "documents"), runs.looped_tail))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_gif_media, op2_suffix_dedup, op3_language, op4_mixing, op5_sharding, op6_minhash, op7_main_text, op8_warc, op9_decontamination, op10_licenses,
+        op11_secrets, op12_filter_audit, op13_periodic_runs,
+    )
+}
+
+ORACLE = {"op4_mixing": mixing.MIXING_SQL, "op12_filter_audit": audit.AUDIT_SQL}
