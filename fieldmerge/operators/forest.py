@@ -1,7 +1,8 @@
 """The optimal set of links: fewest objects, then least total distance, then least partner lists.
 
 An object is a tree of links with at most one observation of each field. Components of one link choose it in plain
-DataFrame operations. The others are one row each; a small exact search runs over these rows.
+DataFrame operations. The others are one row each; a small exact search runs over these rows. Where that takes too many
+steps, the component's legal groups are grown by joins, and the best partition among them is found (groups, cover).
 """
 
 from __future__ import annotations
@@ -16,17 +17,14 @@ from pyspark.sql import functions as F
 
 from fieldmerge.functions.text import utf16_key
 from fieldmerge.operators.candidates import with_component
+from fieldmerge.operators.cover import WorkExceeded
+from fieldmerge.operators.groups import searched_groups
+from fieldmerge.plans.settled import settled
 
-#: Groups of observations that the search may try in a component before it gives up, loudly.
-WORK = 2_000_000
-
-
-#: What is said of a submission with a component that needs more.
-SAY_WORK = "a component needs more than %d steps of the exact search"
-
-
-class WorkExceeded(RuntimeError):
-    """The component needs more than WORK steps; no answer is better than a wrong one."""
+#: Groups of observations that the first search may try in a component before its groups are grown by joins.
+WORK = 10_000
+#: What is said of a submission with a component that is given up there too.
+SAY_WORK = "a component needs more groups or steps than the exact search may take"
 
 
 def best_forest(fields: list[int], ranks: list[int], points: list[tuple[int, int]], links: dict[tuple[int, int], int], work: int = WORK) -> tuple[int, int, list[tuple[int, int]]]:
@@ -170,23 +168,35 @@ def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["submission_id", "component", "a_uid", "b_uid", "w"])
 
 
+def _ranked(observations: DataFrame, components: DataFrame) -> DataFrame:
+    """Observations with component and id_rank, their place by id within it."""
+    rank = F.row_number().over(Window.partitionBy("submission_id", "component").orderBy(utf16_key(F.col("particle_id"))))
+    return observations.join(components, ["submission_id", "uid"]).withColumn("id_rank", rank)
+
+
 def _rows(observations: DataFrame, links: DataFrame, components: DataFrame) -> DataFrame:
     """One row for each component: links (a_uid, b_uid, w) and nodes (uid, field_idx, id_rank, filter_x, filter_y)."""
     keys = ["submission_id", "component"]
     grouped = links.groupBy(*keys).agg(F.collect_list(F.struct("a_uid", "b_uid", "w")).alias("links"))
-    ranked = observations.join(components, ["submission_id", "uid"]).withColumn("id_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(utf16_key(F.col("particle_id")))))
-    nodes = ranked.groupBy(*keys).agg(F.collect_list(F.struct("uid", "field_idx", "id_rank", "filter_x", "filter_y")).alias("nodes"))
+    nodes = _ranked(observations, components).groupBy(*keys).agg(F.collect_list(F.struct("uid", "field_idx", "id_rank", "filter_x", "filter_y")).alias("nodes"))
     return grouped.join(nodes, keys)
 
 
 def searched_links(observations: DataFrame, links: DataFrame, components: DataFrame) -> DataFrame:
-    """(submission_id, component, a_uid, b_uid): the links of the best forest; of a component that needs more than WORK
-    steps one row without links."""
+    """(submission_id, component, a_uid, b_uid): the links of the best forest; of a component that is given up one row
+    without links."""
     own = with_component(links, components).withColumn("n", F.count("*").over(Window.partitionBy("submission_id", "component")))
     columns = ["submission_id", "component", "a_uid", "b_uid"]
     kind = links.schema["submission_id"].dataType.simpleString()
     solved = _rows(observations, own.where("n > 1"), components).mapInPandas(_solved, f"submission_id {kind}, component int, a_uid int, b_uid int")
-    return own.where("n = 1").select(*columns).unionByName(solved)
+    first = settled(own.where("n = 1").select(*columns).unionByName(solved))
+    dense = settled(first.where("a_uid is null").select("submission_id", "component"))
+    if dense.isEmpty():
+        return first
+    keys = ["submission_id", "component"]
+    nodes = settled(_ranked(observations, components).join(dense, keys, "left_semi").select(*keys, "uid", "field_idx", "id_rank"))
+    inner = settled(with_component(links, components).join(dense, keys, "left_semi").select(*columns, "w"))
+    return first.where("a_uid is not null").unionByName(searched_groups(nodes, inner))
 
 
 def with_links(searched: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,9 +205,9 @@ def with_links(searched: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def chosen_links(observations: DataFrame, links: DataFrame, components: DataFrame) -> DataFrame:
-    """The links of the best forest, as with_links; fails on a component that needs more than WORK steps."""
+    """The links of the best forest, as with_links; fails on a component that is given up."""
     searched = searched_links(observations, links, components)
-    failed = F.raise_error(F.format_string(SAY_WORK + " (submission %s, component %d)", F.lit(WORK), F.col("submission_id").cast("string"), F.col("component")))
+    failed = F.raise_error(F.format_string(SAY_WORK + " (submission %s, component %d)", F.col("submission_id").cast("string"), F.col("component")))
     return with_links(searched.withColumn("a_uid", F.when(F.col("a_uid").isNull(), failed.cast("int")).otherwise(F.col("a_uid"))), links)
 
 

@@ -70,7 +70,7 @@ def process_submissions(raw: DataFrame) -> DataFrame:
     over = settled(over.unionByName(refusals(links, parts)))
     solvable, links, parts = (x.join(over, "submission_id", "left_anti") for x in (observations, links, parts))
     searched = settled(forest.searched_links(solvable, links, parts))
-    given_up = searched.where("a_uid is null").select("submission_id", F.lit(forest.SAY_WORK % forest.WORK).alias("error_message")).distinct()
+    given_up = searched.where("a_uid is null").select("submission_id", F.lit(forest.SAY_WORK).alias("error_message")).distinct()
     over = settled(over.unionByName(given_up))
     chosen = settled(forest.with_links(searched.join(over, "submission_id", "left_anti"), links))
     particles = assemble.final_particles(observations.join(over, "submission_id", "left_anti"), chosen)

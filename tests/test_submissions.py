@@ -7,7 +7,7 @@ import pytest
 
 from fieldmerge.functions.geometry import round2
 from fieldmerge.functions.text import trimmed, utf16_length
-from fieldmerge.operators import forest, validate
+from fieldmerge.operators import forest, groups, validate
 from fieldmerge.plans.adjudicate import process_submissions
 from fieldmerge.plans.settled import scratch, settled
 from fieldmerge.streaming.submissions import submission_stream, write_outcomes
@@ -88,9 +88,9 @@ def test_limits(outcomes):
 
 
 def test_each_body_by_itself(outcomes):
-    """One component that is too hard, odd text, and null or repeated ids don't touch other submissions."""
-    assert (outcomes["dense"]["status"], outcomes["dense"]["result"]) == (422, None)
-    assert outcomes["dense"]["error_message"] == forest.SAY_WORK % forest.WORK
+    """Dense components, odd text, and null or repeated ids don't touch other submissions."""
+    # 12 observations in each of 5 fields: groups grown by joins, all full
+    assert (outcomes["dense"]["status"], outcomes["dense"]["result"]["linkCount"], outcomes["dense"]["result"]["totalParticles"]) == (200, 48, 12)
     lone = outcomes["lone"]
     assert (lone["status"], lone["result"]["totalParticles"]) == (200, 1)
     assert [(o["fieldName"], o["particleId"]) for p in lone["result"]["particles"] for o in p["observations"]] == [("\\ud83d", "\\ud800"), ("\\ud83d", "😀")]
@@ -98,6 +98,15 @@ def test_each_body_by_itself(outcomes):
     assert sorted(several, key=str) == [("twice", 200, 0), ("twice", 200, 5), (None, 200, 5), (None, 400, None)]
 
 
+def test_given_up_alone(spark, monkeypatch):
+    monkeypatch.setattr(groups, "MOST_GROUPS", 500)
+    dense = [field([{"id": f"{f}-{i}", "x": i % 4, "y": i // 4, "category": "PE"} for i in range(12)]) for f in range(5)]
+    rows = [("dense", json.dumps(doc(tolerance=2, fields=dense))), ("sample", json.dumps(doc()))]
+    found = {r["submission_id"]: r for r in process_submissions(spark.createDataFrame(rows, "submission_id string, body string")).collect()}
+    assert (found["dense"]["status"], found["dense"]["result"], found["dense"]["error_message"]) == (422, None, forest.SAY_WORK)
+    assert found["sample"]["status"] == 200
+
+
 def test_cap(spark):
     rows = [(s, i, f"p{i}", "m") for s, n in (("a", 5), ("b", 3), ("c", 1)) for i in range(n)]
     out = validate.capped(spark.createDataFrame(rows, "submission_id string, place int, path string, message string"), ["place"], 3).collect()
