@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmerge.functions.geometry import manhattan, within
+from fieldmerge.plans.settled import settled
 
 #: More candidate links in a submission, or observations or links in a component, are refused.
 MOST_LINKS, MOST_COMPONENT_NODES, MOST_COMPONENT_LINKS = 100_000, 200, 5_000
+#: Observations of one submission and category up to which they meet as a whole; more meet by cells.
+MOST_PLAIN = 200
 # What is said of these refusals.
 SAY_LINKS = "候选关联数量 %d 超出求解上限 %d，请缩小容差或拆分批次"
 SAY_COMPONENT_NODES = "单个重叠区域的观测数 %d 超出求解上限 %d"
@@ -38,16 +41,59 @@ def candidate_links(observations: DataFrame) -> DataFrame:
     return _linked(a.join(b, ["submission_id", "category"]))
 
 
+def _placed(observations: DataFrame) -> DataFrame:
+    """With the cell of tolerance + 1 by x and y; those of one cell are within the tolerance of each other."""
+    cell = F.col("tolerance") + 1
+    return observations.withColumn("cx", F.floor(F.col("filter_x") / cell)).withColumn("cy", F.floor(F.col("filter_y") / cell))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Each row in its own cell and the 8 around it, with the distance in cells as ix and iy."""
+    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    spread = rows.withColumn("ix", F.explode(around)).withColumn("iy", F.explode(around))
+    return spread.withColumn("cx", F.col("cx") + F.col("ix")).withColumn("cy", F.col("cy") + F.col("iy"))
+
+
 def candidate_links_banded(observations: DataFrame) -> DataFrame:
     """The same links through a grid of cells of tolerance + 1 by x and y: an observation meets those of the 9 cells
     around its own, so a category with very many observations doesn't meet itself as a whole."""
-    cell = F.col("tolerance") + 1
-    placed = observations.withColumn("cx", F.floor(F.col("filter_x") / cell)).withColumn("cy", F.floor(F.col("filter_y") / cell))
-    a, b = _sides(placed, "cx", "cy")
-    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    spread = a.withColumn("ix", F.explode(around)).withColumn("iy", F.explode(around))
-    spread = spread.withColumn("cx", F.col("cx") + F.col("ix")).withColumn("cy", F.col("cy") + F.col("iy")).drop("ix", "iy")
-    return _linked(spread.join(b, ["submission_id", "category", "cx", "cy"]))
+    a, b = _sides(_placed(observations), "cx", "cy")
+    return _linked(_spread(a).drop("ix", "iy").join(b, ["submission_id", "category", "cx", "cy"]))
+
+
+def planned_links(observations: DataFrame) -> DataFrame:
+    """The same links: by cells for the observations of a submission and category that are more than MOST_PLAIN, as a whole
+    for the others."""
+    keys = ["submission_id", "category"]
+    crowded = settled(observations.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > MOST_PLAIN).select(*keys))
+    if crowded.isEmpty():
+        return candidate_links(observations)
+    plain, rest = (observations.join(crowded, keys, how) for how in ("left_anti", "left_semi"))
+    return candidate_links(plain).unionByName(candidate_links_banded(rest))
+
+
+def link_bounds(observations: DataFrame) -> DataFrame:
+    """(submission_id, at_least, at_most): bounds of each submission's number of links, from counts by cell and field: pairs
+    of one cell are links, those of cells that don't touch are none. No pair of observations is made."""
+    keys = ["submission_id", "category", "cx", "cy"]
+    counts = _placed(observations).groupBy(*keys, "field_idx").agg(F.count("*").alias("n"))
+    a = _spread(counts.withColumnsRenamed({"field_idx": "a_field", "n": "a_n"}))
+    both = a.join(counts, keys).where(F.col("a_field") < F.col("field_idx"))
+    pairs = F.col("a_n") * F.col("n")
+    own = (F.col("ix") == 0) & (F.col("iy") == 0)
+    return both.groupBy("submission_id").agg(F.sum(F.when(own, pairs).otherwise(0)).alias("at_least"), F.sum(pairs).alias("at_most"))
+
+
+def refused_links(observations: DataFrame) -> DataFrame:
+    """(submission_id, n_links) of the submissions with more than MOST_LINKS links. Only those with enough observations, and
+    then enough in cells that touch, have their links counted; no links are written."""
+    few = settled(observations.groupBy("submission_id").agg(F.count("*").alias("n")).where(F.col("n") * (F.col("n") - 1) / 2 > MOST_LINKS).select("submission_id"))
+    if few.isEmpty():
+        return few.withColumn("n_links", F.lit(0).cast("bigint"))
+    many = observations.join(few, "submission_id", "left_semi")
+    open_ = link_bounds(many).where(F.col("at_most") > MOST_LINKS).select("submission_id")
+    counted = link_counts(candidate_links_banded(many.join(settled(open_), "submission_id", "left_semi")))
+    return counted.where("over_limit").select("submission_id", "n_links")
 
 
 def link_counts(links: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmerge.operators import assemble, candidates, forest, validate
+from fieldmerge.operators import assemble, candidates, forest, rules, validate
 from fieldmerge.operators.components import components
 from fieldmerge.operators.expand import expand
 from fieldmerge.plans.settled import settled
@@ -23,9 +23,10 @@ class Adjudication:
 
 
 def adjudicate(observations: DataFrame, banded: bool = False) -> Adjudication:
-    """Final objects of any observations; nothing is checked, and any number of fields is taken."""
+    """Final objects of any observations; nothing is checked, and any number of fields is taken. banded: all observations
+    meet by cells, not only crowded ones."""
     observations = settled(observations)
-    links = settled(candidates.candidate_links_banded(observations) if banded else candidates.candidate_links(observations))
+    links = settled(candidates.candidate_links_banded(observations) if banded else candidates.planned_links(observations))
     parts = settled(components(links))
     chosen = settled(forest.chosen_links(observations, links, parts))
     return Adjudication(observations, links, parts, chosen, assemble.final_particles(observations, chosen))
@@ -35,9 +36,9 @@ def _say(template: str, n: str, most: int) -> Column:
     return F.format_string(template, F.col(n), F.lit(most))
 
 
-def crowded(links: DataFrame) -> DataFrame:
+def crowded(observations: DataFrame) -> DataFrame:
     """(submission_id, error_message) of submissions with too many links."""
-    return candidates.link_counts(links).where("over_limit").select("submission_id", _say(candidates.SAY_LINKS, "n_links", candidates.MOST_LINKS).alias("error_message"))
+    return candidates.refused_links(observations).select("submission_id", _say(candidates.SAY_LINKS, "n_links", candidates.MOST_LINKS).alias("error_message"))
 
 
 def refusals(links: DataFrame, parts: DataFrame) -> DataFrame:
@@ -49,23 +50,25 @@ def refusals(links: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def process_submissions(raw: DataFrame) -> DataFrame:
-    """(submission_id, status, error_message, issues, result) of raw bodies (submission_id, body): status 200 with a result,
-    413 for a body beyond the limit, 400 with located issues, 422 beyond the solver's limits or its steps.
+    """(submission_id, status, error_message, issues, result) of raw bodies (submission_id, body as text or bytes): status
+    200 with a result, 413 for a body of more bytes than the limit, 400 with located issues, 422 beyond the solver's limits
+    or its steps.
 
     One row for each row of raw: a null or repeated submission_id names several bodies, each with an outcome of its own. A
     null body is read as an empty one, invalid UTF-8 as replacement characters; a lone surrogate escaped in a JSON string
     comes out as the escape. An empty table gives no rows."""
-    named = settled(raw.select(F.monotonically_increasing_id().alias("row"), F.col("submission_id").alias("named"), F.make_valid_utf8(F.col("body")).alias("body")))
-    rows = named.select(F.col("row").alias("submission_id"), "body")
+    large = F.coalesce(F.octet_length("body") > validate.MOST_BYTES, F.lit(False))  # of the bytes as they came
+    text = F.when(~large, F.make_valid_utf8(F.col("body").cast("string")))
+    named = settled(raw.select(F.monotonically_increasing_id().alias("row"), F.col("submission_id").alias("named"), large.alias("large"), text.alias("body")))
+    rows = named.where("not large").select(F.col("row").alias("submission_id"), "body")
     nothing = F.array().cast("array<struct<path:string,message:string>>")
-    found = settled(validate.inspected(rows))
+    found = settled(rules.inspected(rows))
     issues = settled(validate.issues(found))
     refused = issues.groupBy("submission_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "message"))), lambda i: i.dropFields("ord")).alias("issues"))
     submissions = settled(validate.normalised(found, refused))
     observations = settled(expand(submissions))
-    links = settled(candidates.candidate_links(observations))
-    over = settled(crowded(links))
-    links = links.join(over, "submission_id", "left_anti")
+    over = settled(crowded(observations))
+    links = settled(candidates.planned_links(observations.join(over, "submission_id", "left_anti")))
     parts = settled(components(links))
     over = settled(over.unionByName(refusals(links, parts)))
     solvable, links, parts = (x.join(over, "submission_id", "left_anti") for x in (observations, links, parts))
@@ -82,10 +85,8 @@ def process_submissions(raw: DataFrame) -> DataFrame:
         "links",
     ))).alias("particles"))
     solved = assemble.summaries(particles, fields).join(listed, "submission_id", "left").select("submission_id", result.alias("result"))
-    large = rows.select("submission_id", (F.octet_length("body") > validate.MOST_BYTES).alias("large"))
-    joined = large.join(refused, "submission_id", "left").join(over, "submission_id", "left").join(solved, "submission_id", "left")
+    joined = named.select(F.col("row").alias("submission_id"), "named", "large").join(refused, "submission_id", "left").join(over, "submission_id", "left").join(solved, "submission_id", "left")
     status = F.when(F.col("large"), 413).when(F.col("issues").isNotNull(), 400).when(F.col("error_message").isNotNull(), 422).otherwise(200)
     unread = F.exists("issues", lambda i: i["message"] == validate.SAY_JSON)
     message = F.when(F.col("large"), validate.SAY_LARGE).when(unread, validate.SAY_UNREAD).when(F.col("issues").isNotNull(), validate.SAY_REFUSED).otherwise(F.col("error_message"))
-    outcomes = joined.select(F.col("submission_id").alias("row"), status.alias("status"), message.alias("error_message"), F.coalesce("issues", nothing).alias("issues"), "result")
-    return named.select("row", F.col("named").alias("submission_id")).join(outcomes, "row").drop("row")
+    return joined.select(F.col("named").alias("submission_id"), status.alias("status"), message.alias("error_message"), F.coalesce("issues", nothing).alias("issues"), "result")

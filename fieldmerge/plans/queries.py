@@ -9,6 +9,7 @@ from fieldmerge.functions.text import default_name
 from fieldmerge.operators import assemble, candidates, forest, validate
 from fieldmerge.operators.components import components
 from fieldmerge.operators.expand import numbered
+from fieldmerge.plans import outcomes
 from fieldmerge.plans.adjudicate import adjudicate, process_submissions
 from fieldmerge.plans.settled import settled
 from fieldmerge.sources.submissions import event_bodies, event_observations, order_bodies, order_fields, table
@@ -173,7 +174,7 @@ QUERIES = {
         partner_lists, final_particles, particle_observations, submission_summary, validation_issues_fields, validation_issues_ids, validation_issues_coords, issues_capped, normalise_names,
         submission_outcomes, order_issues,
     )
-}
+} | outcomes.QUERIES
 
 _OBS = """
 obs as (select user_id as sub, (event_id % 5)::int as f, event_type as cat, 'E' || event_id as id, floor(value / 5)::bigint as fx, extract(hour from ts)::bigint as fy,
@@ -270,4 +271,4 @@ ORACLE = {
     "validation_issues_coords": f"{_ORDERS} select submission_id, path, message from odd",
     "issues_capped": f"{_ORDERS}, both_ as (select submission_id, f, p, axis, path, message from twice where nth > 1 union all select * from odd), n as (select *, row_number() over (partition by submission_id order by f, p, axis) - 1 as ord from both_) select submission_id, ord, path, message from n where ord < 50",
     "normalise_names": "select n_nationkey, case when n_nationkey % 3 = 0 then 'F' || (n_nationkey + 1) else n_name end as field_name from nation",
-}
+} | outcomes.oracle(_ROOTS)
