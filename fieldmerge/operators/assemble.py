@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from fieldmerge.functions.geometry import round2
 from fieldmerge.functions.text import utf16_key
 from fieldmerge.operators.components import components
+from fieldmerge.plans.settled import settled
 
 
 def rooted(observations: DataFrame, chosen: DataFrame) -> DataFrame:
     """Observations with root, the smallest uid of their object; those without links are objects of their own."""
-    linked = components(chosen.join(observations.select("submission_id", F.col("uid").alias("a_uid"), "category"), ["submission_id", "a_uid"]))
+    categories = observations.select("submission_id", F.col("uid").alias("a_uid"), "category")
+    linked = components(settled(chosen.join(categories, ["submission_id", "a_uid"]).select("submission_id", "category", "a_uid", "b_uid")))
     return observations.join(linked.withColumnRenamed("component", "root"), ["submission_id", "uid"], "left").withColumn("root", F.coalesce("root", "uid"))
 
 

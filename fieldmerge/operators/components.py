@@ -35,11 +35,14 @@ def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(links: DataFrame) -> DataFrame:
     """(submission_id, uid, component) of the observations that have links; component is its smallest uid.
 
-    Links don't cross submissions or categories, so a group of (submission, category) is labelled by itself: in one row,
+    links should be a written table: it is counted first. Links don't cross submissions or categories, so a group of (submission, category) is labelled by itself: in one row,
     or, where it has more than MOST_IN_ROW links, in rounds of joins."""
     keys = ["submission_id", "category"]
-    large = settled(links.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_ROW).select(*keys))
-    crowded = not large.isEmpty()
+    # a written table is counted from its footers; only a large one can hold a large group
+    large, crowded = None, links.count() > MOST_IN_ROW
+    if crowded:
+        large = settled(links.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_ROW).select(*keys))
+        crowded = not large.isEmpty()
     rest = links.join(large, keys, "left_anti") if crowded else links
     groups = rest.groupBy(*keys).agg(F.collect_list(F.struct("a_uid", "b_uid")).alias("links"))
     kind = links.schema["submission_id"].dataType.simpleString()

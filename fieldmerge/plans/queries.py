@@ -45,11 +45,11 @@ def link_counts_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_links(spark, sf_dir)).select("submission_id", _long("uid"), _long("component"))
+    return components(settled(_links(spark, sf_dir))).select("submission_id", _long("uid"), _long("component"))
 
 
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _links(spark, sf_dir)
+    links = settled(_links(spark, sf_dir))
     return candidates.component_sizes(links, components(links)).select("submission_id", _long("component"), "n_nodes", "n_links", "over_limit")
 
 
