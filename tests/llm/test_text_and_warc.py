@@ -128,12 +128,74 @@ def test_ratios_decide_without_names(monkeypatch):
     assert htmltext.main_text(page) != expected
 
 
-def test_faint_containers_within_the_article(monkeypatch):
-    page = f"<article><h1>T</h1><p>{LONG}</p><div>" + plain("ul li", "Link one", "Link two") + f"</div><header><h2>Part</h2></header><section><p>Short, but said.</p></section><p>{LONG}</p><ul><li>kept</li></ul></article>"
-    expected = " ".join(["T", LONG.strip(), "Part", "Short, but said.", LONG.strip(), "kept"])
-    assert htmltext.main_text(page) == expected
-    monkeypatch.setattr(htmltext, "FAINT", 0)
-    assert "Link one" in htmltext.main_text(page)
+def test_short_parts_of_an_article_stay():
+    """Whatever its size, a part of the article that doesn't mark itself as something else is text of it."""
+    whole = LONG.strip()
+    for part, said in (
+        ("<table><tr><td>1<td>2</table>", "1 2"), ("<div class=highlight><pre>x = 1</pre></div>", "x = 1"), ("<section><p>Thanks.</p></section>", "Thanks."), ("<div>" + plain("ul li", "One", "Two") + "</div>", "One Two"),
+        (f'<section class="social history"><p>{LONG}</p></section>', whole), (f"<section class=related-work><p>{LONG}</p></section>", whole), (f"<div class=notice-of-death><p>{LONG}</p></div>", whole),
+        ("<div class=related><p>More, of it.</p></div>", ""), ("<div class=related-posts><p>" + LONG + "</p></div>", ""), (f"<div class=feedback><p>{LONG}</p></div>", ""), ("<div class=social>Share</div>", ""), (f"<div class='ad box'>{LONG}</div>", ""),
+    ):
+        for before in (1, 6):
+            html = f"<body><article><h1>T</h1>{f'<p>{LONG}</p>' * before}{part}<p>{LONG}</p></article></body>"
+            assert htmltext.main_text(html) == " ".join(["T", *[whole] * before, *([said] if said else []), whole]), part
+
+
+def test_single_article_beside_more_text():
+    for name in ("user-posts", "wall", "stream"):
+        page = f"<body><article><h1>T</h1><p>Short story, told.</p></article><section class={name}><p>{LONG}</p><p>{LONG}</p></section></body>"
+        assert htmltext.main_text(page) == "T Short story, told.", name
+
+
+def test_deep_and_broken_nesting():
+    import time
+
+    for unit in ("<div><p>y", "<div class=ad><p>y", "<blockquote><p>y", "<main><p>y", "</b></div></p>", "<li>x", "<table><tr><td>z", "<article>t", "<form><div class=related>r"):
+        start = time.time()
+        htmltext.main_text(unit * 20_000)
+        assert time.time() - start < 8, unit
+    assert htmltext.main_text("<div>" * 5000 + f"<p>{LONG}") == LONG.strip()
+
+
+def generated(rnd):
+    """A page with the text of its article, told while it is made."""
+    words = "amo bene casa dies ergo fama gens homo ille jam lex mons nox opus pax quod res sol tempus urbs via".split()
+    sentence = lambda n: " ".join(rnd.choice(words) for _ in range(n)).capitalize() + rnd.choice(",;") + " " + " ".join(rnd.choice(words) for _ in range(n)) + "."
+    said, parts = [], []
+
+    def add(markup, *texts):
+        said.extend(texts)
+        parts.append(markup)
+
+    title = sentence(2)
+    add(f"<h1>{title}</h1>", title)
+    for _ in range(rnd.randint(3, 9)):
+        kind, text = rnd.random(), " ".join(sentence(rnd.randint(4, 9)) for _ in range(rnd.randint(2, 5)))
+        if kind < 0.6:
+            add(f"<p>{text}</p>", text)
+        elif kind < 0.7:
+            add(f"<section class='{rnd.choice(['part', 'note x', 'history'])}'><h2>On &amp; on</h2><p>{text}</section>", "On & on", text)
+        elif kind < 0.8:
+            add("<ul><li>Salt<li>Oil &lt;2</ul>", "Salt", "Oil <2")
+        elif kind < 0.9:
+            add(f"<blockquote><p>{text}</blockquote><pre>a\n  b</pre>", text, "a b")
+        else:
+            add(rnd.choice(["<div class=ad>Buy it, now.</div>", "<script>var p='<p>no</p>'</script>", "<aside><p>By the way, no.</p></aside>", "<div class=share>Send, post</div>", "<!-- <p>no</p> -->", "<form>Search <input></form>"]))
+    around = ["<nav><ul><li><a>Home</a><li><a>Out</a></ul></nav>", "<div class=sidebar><p>Aside, and so on.</p></div>", "<div id=cookie-notice>We use cookies, all of them.</div>", "<div class=banner>Sale! Now, here.</div>"]
+    rnd.shuffle(around)
+    comments = f"<section class=comments>{''.join(f'<div class=comment><p>{sentence(8)} {sentence(7)}</p></div>' for _ in range(rnd.randint(0, 8)))}</section>"
+    cut = rnd.randint(0, len(around))
+    wrap = rnd.choice(["article", "main", "div class=content", "div id=x"])
+    inner = "".join(parts) + (comments if rnd.random() < 0.5 else "")
+    html = f"<!DOCTYPE html><html><head><title>T</title></head><body><header><a>Site</a></header>{''.join(around[:cut])}<{wrap}>{inner}</{wrap.split()[0]}>{''.join(around[cut:])}{comments}<footer>All rights, always.</footer></body></html>"
+    return html, " ".join(said)
+
+
+def test_generated_pages():
+    rnd = random.Random(8)
+    for _ in range(400):
+        html, expected = generated(rnd)
+        assert htmltext.main_text(html) == expected, html
 
 
 def test_content_paths_against_brute_force():
