@@ -23,6 +23,11 @@ from fieldmerge.llm.common import text_buffer, written
 LEAST_REVISIT = 0
 ARCHIVE_BYTES = 4 << 20
 
+#: Payloads that occur more than once are known to every task up to so many; more are joined.
+MOST_SENT = 500_000
+#: A member's name, comment or extra field, or a record's headers, of more bytes are taken for damage.
+LONGEST_NAME, LONGEST_HEAD = 4096, 1 << 16
+
 _MAGIC, _VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/\d\.\d\r?\n")
 
 
@@ -51,9 +56,11 @@ def _one(data: bytes, at: int) -> tuple[dict, bytes, int]:
     if not (line := _VERSION.match(data, at)):
         raise ValueError("no version line")
     blank = b"\r\n\r\n" if line[0].endswith(b"\r\n") else b"\n\n"  # headers end as the version line does
-    stop = data.find(blank, line.end() - len(blank) // 2)
+    stop = data.find(blank, line.end() - len(blank) // 2, line.end() + LONGEST_HEAD)
     if stop < 0:
         raise ValueError("headers break off")
+    if _VERSION.match(data, line.end()):
+        raise ValueError("no headers")
     gap = len(blank)
     headers, last = {}, None
     for row in re.split("\r?\n", data[line.end() : stop].decode("utf-8", "replace")) if stop > line.end() else []:
@@ -89,7 +96,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes, str]]:
     sought at which a whole member or record stands; the bytes between are one gap. A member that is whole but holds
     a bad record is a gap of its own, less the records found within it. Whole records before the damage of a
     member are given before its gap, with start and end at the member's first byte."""
-    at, bad, why = 0, None, ""
+    at, bad, why, line = 0, None, "", 0
     while at < len(data):
         found, end = [], at
         try:
@@ -100,7 +107,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes, str]]:
                 headers, block, end = _one(data, at)
                 found = [("record", headers, block, "")]
         except (ValueError, zlib.error) as error:
-            rest = _before_damage(data, at) if data.startswith(_MAGIC, at) else []
+            rest = _before_damage(data, at) if data.startswith(_MAGIC, at) and _has_head(data, at) else []
             if rest and bad is not None:
                 yield "gap", bad, at, {}, b"", why
                 bad = None
@@ -108,7 +115,10 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes, str]]:
                 bad, why = at, str(error)
             for headers, block in rest:
                 yield "record", at, at, headers, block, ""
-            at = _next(data, at + 1)
+            # a version line that was found ahead is still the next one
+            line = line if line > at else _line(data, at + 1)
+            member = data.find(_MAGIC, at + 1, line)
+            at = member if member >= 0 else line
             continue
         if bad is not None:
             yield "gap", bad, at, {}, b"", why
@@ -134,31 +144,37 @@ def _within(text: bytes) -> Iterator[tuple[str, dict, bytes, str]]:
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """The content and end of the gzip member at `at`; its CRC and length are checked."""
+    if not _has_head(data, at):
+        raise ValueError("no gzip header")
     reader, parts, end = zlib.decompressobj(31), [], at
-    while not reader.eof:
-        piece = data[end : end + 65536]
-        if not piece:
-            raise ValueError("a gzip member breaks off")
+    for piece in _pieces(data, at):
         parts.append(reader.decompress(piece))
         end += len(piece)
-    return b"".join(parts), end - len(reader.unused_data)
+        if reader.eof:
+            return b"".join(parts), end - len(reader.unused_data)
+    raise ValueError("a gzip member breaks off")
 
 
 def _before_damage(data: bytes, at: int) -> list[tuple[dict, bytes]]:
     """Headers and block of the whole records at the start of what a damaged gzip member still gives. What precedes a failed
     check needs a block digest that holds; what precedes the end of the data doesn't."""
     reader, parts, cut = zlib.decompressobj(31), [], True
-    for i in range(at, len(data), 65536):
+    for piece in _pieces(data, at):
         before = reader.copy()
         try:
-            parts.append(reader.decompress(data[i : i + 65536]))
+            parts.append(reader.decompress(piece))
         except zlib.error:
             cut = False
-            try:
-                for j in range(i, min(i + 65536, len(data))):
-                    parts.append(before.decompress(data[j : j + 1]))
-            except zlib.error:
-                break
+            while len(piece) > 1:  # halves, to the byte that fails
+                half, state = piece[: len(piece) // 2], before.copy()
+                try:
+                    parts.append(state.decompress(half))
+                    before, piece = state, piece[len(half) :]
+                except zlib.error:
+                    piece = half
+            break
+        if reader.eof:
+            break
     found, text, place = [], b"".join(parts), 0
     while place < len(text):
         try:
@@ -171,10 +187,31 @@ def _before_damage(data: bytes, at: int) -> list[tuple[dict, bytes]]:
     return found
 
 
-def _next(data: bytes, at: int) -> int:
-    """The next offset at which a member or a version line may begin."""
-    member, line = data.find(_MAGIC, at), _VERSION.search(data, at)
-    return min([x for x in (member, line.start() if line else -1) if x >= 0], default=len(data))
+def _line(data: bytes, at: int) -> int:
+    """The offset of the next version line, or the end."""
+    found = _VERSION.search(data, at)
+    return found.start() if found else len(data)
+
+
+def _has_head(data: bytes, at: int) -> bool:
+    """Whether a gzip header may stand at `at`: known flags, and its name and comment end soon."""
+    flags = data[at + 3] if at + 3 < len(data) else 0xFF
+    place = at + 10
+    if flags & 4:
+        extra = int.from_bytes(data[place : place + 2], "little")
+        place = place + 2 + extra if extra <= LONGEST_NAME else -1
+    for bit in (8, 16):
+        if flags & bit and place >= 0:
+            place = data.find(b"\0", place, place + LONGEST_NAME) + 1 or -1
+    return not flags & 0xE0 and 0 <= place <= len(data)
+
+
+def _pieces(data: bytes, at: int) -> Iterator[bytes]:
+    """The bytes from `at` on, a few first: most of what isn't a member fails on these."""
+    end = min(at + 2048, len(data))
+    while at < end:
+        yield data[at:end]
+        at, end = end, min(end + 65536, len(data))
 
 
 def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
@@ -183,10 +220,15 @@ def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
     The payload is the html in UTF-8 (null: empty). Of equal payloads of at least least_revisit bytes the one with
     the smallest page_id is stored and the others refer to it; rows that share that page_id as well are all stored.
     A null page_id counts as larger than any; where a payload has no other, its rows are all stored. An empty table
-    gives no archives. Equal payloads meet only as hashes: sums per task first, then one join that Spark can split."""
+    gives no archives. Equal payloads meet as hashes only, summed per task first. The payloads that occur more than once
+    are sent to every task, after a count, so no html is shuffled; beyond MOST_SENT of them they are joined, as Spark can
+    split."""
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("hash"))
-    first = rows.where(F.octet_length("html") >= least_revisit).groupBy("hash").agg(F.min("page_id").alias("first"))
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("hash"))
+    counted = rows.where(F.octet_length("html") >= least_revisit).groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = written(counted.where("n > 1 and first is not null").select("hash", "first"), "payloads")
+    if first.count() <= MOST_SENT:
+        first = F.broadcast(first)
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     joined = rows.join(first, "hash", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 

@@ -231,3 +231,24 @@ def test_records_with_line_feeds_only():
     data = plain_record("a", http, "\n") + plain_record("b", http, "\n") + plain_record("c", http, "\r\n")
     found = list(warc.salvage(data))
     assert [(k, h.get("warc-record-id"), b) for k, _, _, h, b, _ in found] == [("record", f"<{n}>", http) for n in "abc"]
+
+
+def test_false_starts_take_linear_time():
+    import time
+
+    rnd = random.Random(2)
+    good = warc.record(7, "http://x/7", b"p" * 500, warc.payload_digest(b"p" * 500), None)
+    for junk in (b"\x1f\x8b\x08" * 100_000, b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x00" * 20_000, b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\x00\xff\xff" * 10_000, b"\x1f\x8b\x08" + rnd.randbytes(1_000_000), b"".join(b"\x1f\x8b\x08\x00" + rnd.randbytes(8) for _ in range(10_000)), b"WARC/1.0\r\n" * 30_000):
+        start = time.time()
+        found = list(warc.salvage(good + junk + good))
+        assert time.time() - start < 20, junk[:12]
+        assert [f[3]["warc-record-id"] for f in found if f[0] == "record"] == ["<urn:page:7>"] * 2
+        assert [(f[1], f[2]) for f in found if f[0] == "gap"][0][0] == len(good) and found[-1][2] == len(good + junk + good)
+
+
+def test_joined_payloads_as_sent_ones(spark, monkeypatch):
+    rows = [(i, f"u{i}", f"<p>{i % 3}</p>") for i in range(12)] + [(None, "u", "<p>1</p>"), (None, "v", "x"), (None, "w", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent = sorted(warc.pages_read(warc.write_archives(pages)).collect(), key=str)
+    monkeypatch.setattr(warc, "MOST_SENT", 0)
+    assert sorted(warc.pages_read(warc.write_archives(pages)).collect(), key=str) == sent
