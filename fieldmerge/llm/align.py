@@ -94,6 +94,13 @@ class GramTable:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(grams >> np.uint64(44)).astype(np.int64)] = True
 
+    def spans(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each gram of a text, the first entry of this table with it and the end of these."""
+        first, end = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+        maybe = np.flatnonzero(self.seen[(grams >> np.uint64(44)).astype(np.int64)])
+        first[maybe], end[maybe] = np.searchsorted(self.grams, grams[maybe], "left"), np.searchsorted(self.grams, grams[maybe], "right")
+        return first, end
+
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of an index into grams and an index into this table's entries."""
         maybe = np.flatnonzero(self.seen[(grams >> np.uint64(44)).astype(np.int64)])

@@ -1,5 +1,9 @@
-"""Benchmark decontamination: word grams of the test items seed candidates in the training texts, and
+"""Benchmark decontamination: rare word grams of the test items seed candidates in the training texts, and
 Smith-Waterman alignment scores copies, edited ones included.
+
+A gram of an item is a seed unless it is much more common than most of the item's own grams: among the documents (set
+phrases; grams that none holds don't count), or among the items (openings that many share). By either, at least three quarters
+of an item's grams stay, so an edited copy keeps seeds whatever other versions of the item the documents hold.
 """
 
 from __future__ import annotations
@@ -16,6 +20,11 @@ from fieldmerge.llm.common import PUNCTUATION, text_blocks, word_grams, words
 
 #: Words of a seed, different seeds that a passage needs, and the part of an item's best possible score that a copy reaches.
 GRAM, SEEDS, COPY = 3, 2, 0.5
+#: A gram is common if it is in more than so many times as many documents (or items) as an item's upper quartile, and in more
+#: than so many.
+TIMES, DOCUMENTS, ITEMS = 4, 1000, 16
+#: Pairs of a hit and an item's gram that are looked at together.
+PAIRS = 1 << 20
 #: The items are taken in blocks of about so many bytes, each a pass over the documents: what is sent to the tasks stays bounded.
 ITEM_BYTES = 4 << 20
 
@@ -42,8 +51,29 @@ class Items:
                 owner.append(np.full(offsets[r + 1] - offsets[r], number))
                 number += 1
         empty = [np.zeros(0, np.uint64)]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.table = GramTable(np.concatenate(grams + empty), np.concatenate([*owner, np.zeros(0, np.int64)]), np.concatenate([*place, np.zeros(0, np.int64)]))
 
+    def keep_rare(self, documents: dict[int, int]) -> None:
+        """Keep the seeds of each item. documents: how many hold a gram, by its index among the table's different grams."""
+        table = self.table
+        different, of = np.unique(table.grams, return_inverse=True)
+        held = np.zeros(len(different), np.int64)
+        held[list(documents.keys())] = list(documents.values())
+        pairs = np.unique(np.stack([of, table.owner], axis=1), axis=0)
+        shared = np.bincount(pairs[:, 0], minlength=len(different))
+        seeds = held[of] > 0
+        for counts, known, least in ((held[of], seeds.copy(), DOCUMENTS), (shared[of], np.ones(len(of), bool), ITEMS)):
+            order = np.lexsort((counts, table.owner))
+            known = order[known[order]]
+            first = np.searchsorted(table.owner[known], np.arange(len(self.words)))
+            size = np.bincount(table.owner[known], minlength=len(self.words))
+            quartile = np.zeros(len(self.words), np.int64)
+            some = size > 0
+            quartile[some] = counts[known][(first + (3 * (size - 1) + 3) // 4)[some]]
+            seeds &= counts <= np.maximum(TIMES * quartile[table.owner], least)
+        self.table = GramTable(table.grams[seeds], table.owner[seeds], table.place[seeds])
+
 
 def copies_in(own: Items, text: np.ndarray, at: np.ndarray, entries: np.ndarray) -> list[tuple[int, float, int, int, int]]:
     """(item, score, matched words, first word, end word) of the items of which the text (word hashes) holds a copy.
@@ -74,26 +104,71 @@ def copies_in(own: Items, text: np.ndarray, at: np.ndarray, entries: np.ndarray)
     return out
 
 
+def _hits(own: Items, grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, index into grams, entry of the table) of the pairs of a document and an item with enough hits. PAIRS are
+    looked at together: once to count them, once to take what counts."""
+    first, end = own.table.spans(grams)
+    at = np.flatnonzero(end > first)
+    cuts = np.searchsorted(np.cumsum((end - first)[at]), np.arange(PAIRS, (end - first)[at].sum() + PAIRS, PAIRS), "left") + 1
+    slices = [x for x in np.split(at, cuts[:-1]) if len(x)] if len(at) else []
+
+    def pairs(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = (end - first)[part]
+        hit = np.repeat(part, count)
+        entries = np.repeat(first[part], count) + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
+        doc = np.searchsorted(offsets, hit, "right") - 1
+        return hit, entries, doc * len(own.words) + own.table.owner[entries]
+
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in slices:
+        found, count = np.unique(pairs(part)[2], return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, count]), len(keys)).astype(np.int64)
+    good = keys[counts >= np.minimum(SEEDS, own.sizes[keys % max(1, len(own.words))] - GRAM + 1)]
+    kept = [np.zeros((2, 0), np.int64)]
+    for part in slices if len(good) else []:
+        hit, entries, key = pairs(part)
+        stays = np.isin(key, good)
+        kept.append(np.stack([hit[stays], entries[stays]]))
+    hit, entries = np.concatenate(kept, axis=1)
+    return np.searchsorted(offsets, hit, "right") - 1, hit, entries
+
+
 def _matches(own: Items, texts: pa.Array) -> list[tuple[int, int, float, int, int, int]]:
     """The row of texts, then as copies_in, for every copy in these rows."""
     out = []
     for i, _, data, at in text_blocks(texts):
         hashes, _, _, rows = words(data, at, PUNCTUATION)
         grams, first, offsets = word_grams(hashes, rows, GRAM)
-        hit, entries = own.table.find(grams)
-        doc = np.searchsorted(offsets, hit, "right") - 1
-        # only pairs of a document and an item with enough hits go on
-        pair = doc * len(own.words) + own.table.owner[entries]
-        _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
-        needed = np.minimum(SEEDS, np.array([len(w) for w in own.words], np.int64)[own.table.owner[entries]] - GRAM + 1)
-        good = count[back] >= needed if len(pair) else np.zeros(0, bool)
-        hit, entries, doc = hit[good], entries[good], doc[good]
+        doc, hit, entries = _hits(own, grams, offsets)
         for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) if len(doc) else []:
             d = int(doc[part[0]])
             out += [(i + d, *x) for x in copies_in(own, hashes[rows[d] : rows[d + 1]], first[hit[part]] - rows[d], entries[part])]
     return out
 
 
+def _documents_with(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
+    """How many documents hold each of the grams (sorted, different), by index; grams in none are left out. Summed per batch,
+    then by Spark; a block of items bounds what comes back."""
+    known = docs.sparkSession.sparkContext.broadcast(grams)
+
+    def count(batches):
+        for b in batches:
+            total = np.zeros(len(known.value), np.int64)
+            for _, _, data, at in text_blocks(b.column(0)):
+                hashes, _, _, rows = words(data, at, PUNCTUATION)
+                found, _, offsets = word_grams(hashes, rows, GRAM)
+                place = np.minimum(np.searchsorted(known.value, found), len(known.value) - 1)
+                hit = np.flatnonzero(known.value[place] == found)
+                doc = np.searchsorted(offsets, hit, "right") - 1
+                total += np.bincount(np.unique(np.stack([doc, place[hit]]), axis=1)[1], minlength=len(total))
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
+
+    rows = docs.select(F.lower(docs["text"].cast("string")).alias("text")).mapInArrow(count, "gram long, n long")
+    return {r["gram"]: r["n"] for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+
+
 def _item_blocks(docs: DataFrame, benchmark: DataFrame):
     """For each block of items: a broadcast Items, and the Arrow type of item_id."""
     spark = docs.sparkSession
@@ -103,6 +178,8 @@ def _item_blocks(docs: DataFrame, benchmark: DataFrame):
     for number in range(blocks):
         table = asked.where(F.col("block") == number).toArrow()
         items = Items(table["key"].to_pylist(), table["text"].combine_chunks())
+        if len(items.table.grams):
+            items.keep_rare(_documents_with(docs, np.unique(items.table.grams)))
         yield spark.sparkContext.broadcast(items), table.schema.field("key").type
 
 
@@ -110,7 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, matched_words, first_word and end_word of each pair of a document (doc_id, text) and a test
     item (item_id, text) of which it holds a copy: the best one, as a part of the item's best possible score.
 
-    All grams of an item are seeds, however many documents hold them; a passage is aligned if it has SEEDS different ones.
+    A passage is aligned if it has SEEDS different seeds of the item. Of an item, all grams are seeds that aren't common beside
+    its others.
     Words are runs of letters and digits, lower-cased. Items of fewer than GRAM words and null texts match nothing; an
     item of GRAM words needs a passage that is the same. Rows of an item_id or doc_id that occur more than once are
     items or documents of their own. Empty tables give no rows."""

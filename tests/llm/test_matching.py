@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from fieldmerge.llm import decontam, licenses
@@ -201,3 +202,54 @@ def test_licenses_are_told_apart_by_name_and_version():
     for name, texts in known.items():
         for text in texts:
             assert name in {s[0] for s in license_places(f"So {text} it is", known)}, text[:80]
+
+
+def test_all_pairs_of_a_small_table(spark):
+    """Every item is aligned with every document as a whole; what reaches the score is found, and nothing else."""
+    from fieldmerge.llm.align import MATCH
+
+    rnd = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [rnd.choices(vocabulary, k=rnd.randint(8, 30)) for _ in range(25)]
+    docs = []
+    for i in range(120):
+        text = rnd.choices(vocabulary, k=rnd.randint(0, 60))
+        if i % 2:
+            copy = [rnd.choice(vocabulary) if rnd.random() < (i % 7) / 20 else w for w in rnd.choice(items)]
+            at = rnd.randint(0, len(text))
+            text = text[:at] + copy + text[at:]
+        docs.append(text)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(table, bench).collect()}
+    number = {w: i for i, w in enumerate(vocabulary)}
+    coded = lambda t: np.array([number[w] for w in t], np.int64)
+    best = {}
+    for d, text in enumerate(docs):
+        for k, item in enumerate(items):
+            score = align(coded(item), coded(text)).score / (MATCH * len(item)) if text else 0
+            grams = {tuple(item[j : j + 3]) for j in range(len(item) - 2)} & {tuple(text[j : j + 3]) for j in range(len(text) - 2)}
+            if score >= decontam.COPY:
+                best[d, k] = score, len(grams)
+    assert set(found) <= set(best) and all(found[p] == pytest.approx(best[p][0]) for p in found)
+    assert len(found) > 40 and {p for p in best if best[p][1] >= decontam.SEEDS} == set(found)
+
+
+def test_items_with_one_opening(monkeypatch):
+    """Openings that many items share are no seeds; pairs are looked at some at a time, with the same result."""
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    vocabulary, opening = [f"w{i}" for i in range(5000)], "please read the text below and answer it"
+    texts = [opening + " " + " ".join(rnd.choices(vocabulary, k=25)) for _ in range(400)]
+    page = " ".join(opening + " " + " ".join(rnd.choices(vocabulary, k=20)) for _ in range(100)) + " " + texts[7]
+    items = decontam.Items(list(range(400)), pa.array(texts))
+    different = np.unique(items.table.grams)
+    held = decontam.Items([0], pa.array([page])).table.grams
+    whole = sorted(decontam._matches(items, pa.array([page])))
+    monkeypatch.setattr(decontam, "PAIRS", 1000)
+    assert sorted(decontam._matches(items, pa.array([page]))) == whole and [m[1] for m in whole] == [7]
+    before = len(items.table.grams)
+    items.keep_rare({int(i): 1 for i in np.flatnonzero(np.isin(different, held))})
+    assert len(items.table.grams) < before / 10
+    assert sorted(decontam._matches(items, pa.array([page]))) == whole
