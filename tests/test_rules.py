@@ -39,6 +39,33 @@ def test_expressions_against_the_inspector(spark):
     assert 0 < left < 150
 
 
+def test_deep_bodies(spark):
+    good = json.dumps(doc())
+    deep = "[" * 100_000 + "]" * 100_000
+    bodies = {"array": (deep, 400, validate.SAY_BODY), "beside": (good[:-1] + f',"more":{deep}}}', 200, None), "name": (good.replace('"name": ""', f'"name": {deep}'), 400, validate.SAY_NAME), "open": (deep[:-1], 400, validate.SAY_JSON), "objects": ('{"a":' * 50_000 + "1" + "}" * 50_000, 400, validate.SAY_TOLERANCE)}
+    out = {r["submission_id"]: r for r in process_submissions(spark.createDataFrame([(n, b) for n, (b, _, _) in bodies.items()], "submission_id string, body string")).collect()}
+    for name, (_, status, message) in bodies.items():
+        assert (out[name]["status"], out[name]["issues"][0]["message"] if message else None) == (status, message), name
+
+
+def test_nested_reader_against_the_parser():
+    rnd = random.Random(6)
+    whole = json.dumps({"a": [1, -0.5e3, "x\\u00e9\\n", None, {"b": [], "c": {}}], "d": [[], [[True, False]]]})
+    for _ in range(4000):
+        text = list(whole)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(text))
+            text[at : at + rnd.randint(0, 2)] = rnd.choice(["", ",", "]", "}", "[", "{", '"', ":", "1", " ", "null", "-", "0", "\\"])
+        text = "".join(text)
+        try:
+            expected = json.loads(text, parse_int=float, parse_constant=validate._no_constant)
+        except ValueError:
+            with pytest.raises(ValueError):
+                validate.read_nested(text)
+        else:
+            assert validate.read_nested(text) == expected, text
+
+
 def test_bodies_as_bytes(spark):
     good = json.dumps(doc(), ensure_ascii=False).encode()
     fill = lambda n, sign=b" ": good + sign * (n - len(good))
