@@ -4,6 +4,8 @@ reports how much of a template a text holds, and where.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,19 +30,24 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "Apache License Version 2.0, January 2004",
+        "Apache License, Version 2.0",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU General Public License, version 3",
+        "GNU GPL v3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "GNU General Public License, version 2",
+        "GNU GPL v2",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
-    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
-    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, Version 2.0."),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -81,6 +88,10 @@ TELLING: dict[str, tuple[str, ...]] = {
 }
 
 
+#: A notice that follows one of these words in its own sentence, at most so many words before, says what isn't granted.
+_DENIED, BEFORE = re.compile(rb"\b(?:not|never|neither|nor|cannot|without)\b[^.;:!?\r\n]*$", re.I), 4
+
+
 def _holds(text: np.ndarray, phrase: np.ndarray) -> bool:
     return len(text) >= len(phrase) and bool((np.lib.stride_tricks.sliding_window_view(text, len(phrase)) == phrase).all(axis=1).any())
 
@@ -168,7 +179,8 @@ def spans_in(own: Templates, text: np.ndarray, at: np.ndarray, entries: np.ndarr
 
 def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, license, template (its number), coverage, matched_words, first_byte, end_byte and excerpt for each place of a
-    document (doc_id, text) that holds COVERAGE of a template's words in order, and what TELLING asks for.
+    document (doc_id, text) that holds COVERAGE of a template's words in order, and what TELLING asks for, but for places
+    that deny it (not licensed under ...).
 
     Words are runs of letters and digits, A-Z lower-cased. Templates of fewer than GRAM words and null or empty texts match
     nothing. An empty table gives no rows. The templates (a parameter of
@@ -189,6 +201,8 @@ def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
                     d = int(doc[part[0]])
                     for k, coverage, matched, w0, w1 in spans_in(own, hashes[rows[d] : rows[d + 1]], first[hit[part]] - rows[d], entries[part]):
                         x, y = int(start[rows[d] + w0]), int(end[rows[d] + w1 - 1])
+                        if _DENIED.search(data[int(start[rows[d] + max(0, w0 - BEFORE)]) : x].tobytes()):
+                            continue
                         out.append((i + d, own.names[k], k, coverage, matched, x - int(at[d]), y - int(at[d]), data[x:y].tobytes().decode("utf-8", "replace")))
                 c = list(zip(*out, strict=True)) or [[]] * 8
                 kinds = (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.string())

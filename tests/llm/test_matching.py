@@ -253,3 +253,16 @@ def test_items_with_one_opening(monkeypatch):
     items.keep_rare({int(i): 1 for i in np.flatnonzero(np.isin(different, held))})
     assert len(items.table.grams) < before / 10
     assert sorted(decontam._matches(items, pa.array([page]))) == whole
+
+
+def test_bare_names_and_denials(spark):
+    texts = {
+        "See the Apache License, Version 2.0, for more.": ["Apache-2.0"], "Under GNU GPL v3 since then.": ["GPL-3.0"], "the GNU Affero General Public License, version 3": ["AGPL-3.0"], "GNU Lesser General Public License, version 3": ["LGPL-3.0"],
+        "GNU General Public License, version 2": ["GPL-2.0"], "This text is not licensed under the MIT License.": [], "It isn't free. Licensed under the MIT License.": ["MIT"], "That is not so. Licensed under the MIT License.": ["MIT"],
+        "It was never released under the BSD License, I think.": [], "neither licensed under the MIT License nor any": [], "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in licenses.license_spans(docs).collect():
+        found.setdefault(r["doc_id"], []).append(r["license"])
+    assert {t: found.get(i, []) for i, t in enumerate(texts)} == texts
