@@ -153,15 +153,18 @@ def _documents_with(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
     known = docs.sparkSession.sparkContext.broadcast(grams)
 
     def count(batches):
+        seen = np.zeros(1 << 20, bool)  # by a hash's first bits
+        seen[(known.value >> np.uint64(44)).astype(np.int32)] = True
         for b in batches:
             total = np.zeros(len(known.value), np.int64)
             for _, _, data, at in text_blocks(b.column(0)):
                 hashes, _, _, rows = words(data, at, PUNCTUATION)
                 found, _, offsets = word_grams(hashes, rows, GRAM)
-                place = np.minimum(np.searchsorted(known.value, found), len(known.value) - 1)
-                hit = np.flatnonzero(known.value[place] == found)
+                hit = np.flatnonzero(seen[(found >> np.uint64(44)).astype(np.int32)])
+                place = np.minimum(np.searchsorted(known.value, found[hit]), len(total) - 1)
+                hit, place = (x[known.value[place] == found[hit]] for x in (hit, place))
                 doc = np.searchsorted(offsets, hit, "right") - 1
-                total += np.bincount(np.unique(np.stack([doc, place[hit]]), axis=1)[1], minlength=len(total))
+                total += np.bincount(np.unique(doc * len(total) + place) % len(total), minlength=len(total))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
 
