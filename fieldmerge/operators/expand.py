@@ -26,13 +26,14 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def expand(submissions: DataFrame) -> DataFrame:
-    """Observations of typed submissions (submission_id, tolerance, fields); empty fields give no rows."""
-    fields = submissions.select("submission_id", "tolerance", F.posexplode("fields").alias("field_idx", "field"))
-    particles = fields.select("submission_id", "tolerance", "field_idx", default_name(F.col("field.name"), F.col("field_idx")).alias("field_name"), F.col("field.offset").alias("offset"), F.posexplode("field.particles").alias("particle_order", "p"))
-    return numbered(
-        particles.select(
-            "submission_id", "tolerance", "field_idx", "field_name", "particle_order",
-            trimmed(F.col("p.id")).alias("particle_id"), trimmed(F.col("p.category")).alias("category"),
-            F.col("p.x").alias("local_x"), F.col("p.y").alias("local_y"), F.col("offset.x").alias("offset_x"), F.col("offset.y").alias("offset_y"),
-        )
-    )
+    """Observations of typed submissions (submission_id, tolerance, fields); empty fields give no rows. They are numbered as
+    by `numbered`, from their places within the submission's row."""
+    before = lambda i: F.aggregate(F.slice("fields", 1, i), F.lit(0), lambda n, f: n + F.greatest(F.coalesce(F.size(f["particles"]), F.lit(0)), F.lit(0)))
+    listed = F.transform("fields", lambda f, i: F.struct(f.alias("field"), before(i).alias("before")))
+    fields = submissions.select("submission_id", "tolerance", F.posexplode(listed).alias("field_idx", "f")).select("submission_id", "tolerance", "field_idx", "f.*")
+    particles = fields.select("submission_id", "tolerance", "field_idx", "before", default_name(F.col("field.name"), F.col("field_idx")).alias("field_name"), F.col("field.offset").alias("offset"), F.posexplode("field.particles").alias("particle_idx", "p"))
+    return particles.select(
+        "submission_id", "tolerance", (F.col("before") + F.col("particle_idx")).alias("uid"), "field_idx", "particle_idx", "field_name",
+        trimmed(F.col("p.id")).alias("particle_id"), trimmed(F.col("p.category")).alias("category"), F.col("p.x").alias("local_x"), F.col("p.y").alias("local_y"),
+        (F.col("offset.x") + F.col("p.x")).alias("filter_x"), (F.col("offset.y") + F.col("p.y")).alias("filter_y"),
+    ).select(*OBSERVATION)

@@ -59,13 +59,16 @@ def process_submissions(raw: DataFrame) -> DataFrame:
     comes out as the escape. An empty table gives no rows."""
     large = F.coalesce(F.octet_length("body") > validate.MOST_BYTES, F.lit(False))  # of the bytes as they came
     text = F.when(~large, F.make_valid_utf8(F.col("body").cast("string")))
-    named = settled(raw.select(F.monotonically_increasing_id().alias("row"), F.col("submission_id").alias("named"), large.alias("large"), text.alias("body")))
-    rows = named.where("not large").select(F.col("row").alias("submission_id"), "body")
-    nothing = F.array().cast("array<struct<path:string,message:string>>")
-    found = settled(rules.inspected(rows))
-    issues = settled(validate.issues(found))
-    refused = issues.groupBy("submission_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "message"))), lambda i: i.dropFields("ord")).alias("issues"))
-    submissions = settled(validate.normalised(found, refused))
+    named = raw.select(F.monotonically_increasing_id().alias("row"), F.col("submission_id").alias("named"), large.alias("large"), text.alias("body"))
+    nothing = F.array().cast(validate.ISSUES)
+    # a body is only kept for what still reads it: the inspector, or the observations of one without issues
+    kept = F.when(F.col("issues").isNull() | (F.size("issues") == 0), F.col("body"))
+    read = rules.concluded(named.withColumn("body", F.when(~F.col("large"), F.coalesce("body", F.lit("")))))
+    read = settled(read.withColumn("body", kept).withColumn("issues", F.when(F.col("large"), nothing).otherwise(F.col("issues"))))
+    left = read.where("issues is null").drop("issues")
+    checked = settled(read.where("issues is not null").unionByName(validate.concluded(left)))
+    good = checked.where("not large and size(issues) = 0")
+    submissions = settled(validate.normalised(good.select(F.col("row").alias("submission_id"), "body")))
     observations = settled(expand(submissions))
     over = settled(crowded(observations))
     links = settled(candidates.planned_links(observations.join(over, "submission_id", "left_anti")))
@@ -85,8 +88,10 @@ def process_submissions(raw: DataFrame) -> DataFrame:
         "links",
     ))).alias("particles"))
     solved = assemble.summaries(particles, fields).join(listed, "submission_id", "left").select("submission_id", result.alias("result"))
-    joined = named.select(F.col("row").alias("submission_id"), "named", "large").join(refused, "submission_id", "left").join(over, "submission_id", "left").join(solved, "submission_id", "left")
-    status = F.when(F.col("large"), 413).when(F.col("issues").isNotNull(), 400).when(F.col("error_message").isNotNull(), 422).otherwise(200)
+    ready = good.select(F.col("row").alias("submission_id"), "named", "large", "issues").join(over, "submission_id", "left").join(solved, "submission_id", "left").drop("submission_id")
+    refused = checked.where("large or size(issues) > 0").select("named", "large", "issues")
+    joined = ready.unionByName(refused, allowMissingColumns=True)
+    status = F.when(F.col("large"), 413).when(F.size("issues") > 0, 400).when(F.col("error_message").isNotNull(), 422).otherwise(200)
     unread = F.exists("issues", lambda i: i["message"] == validate.SAY_JSON)
-    message = F.when(F.col("large"), validate.SAY_LARGE).when(unread, validate.SAY_UNREAD).when(F.col("issues").isNotNull(), validate.SAY_REFUSED).otherwise(F.col("error_message"))
-    return joined.select(F.col("named").alias("submission_id"), status.alias("status"), message.alias("error_message"), F.coalesce("issues", nothing).alias("issues"), "result")
+    message = F.when(F.col("large"), validate.SAY_LARGE).when(unread, validate.SAY_UNREAD).when(F.size("issues") > 0, validate.SAY_REFUSED).otherwise(F.col("error_message"))
+    return joined.select(F.col("named").alias("submission_id"), status.alias("status"), message.alias("error_message"), "issues", "result")

@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """Rows of a file, which is counted from its footers, by keys in parts of some `most` rows: more rows are more parts, so
+    a task's time and memory don't grow with them."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // most)
+    return rows.repartition(parts, *keys)
+
+
 def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations from the events table: a user is a submission, event_id modulo 5 the field; tolerance 2.
 
@@ -81,7 +88,7 @@ KINDS = 30
 
 def rule_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw submission for each customer, of a kind (c_custkey modulo KINDS) that breaks one of the rules, or none."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), 5_000, "c_custkey")
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     spaces = " \u3000\u00a0"
