@@ -17,13 +17,13 @@ SAY_LINKS = "候选关联数量 %d 超出求解上限 %d，请缩小容差或拆
 SAY_COMPONENT_NODES = "单个重叠区域的观测数 %d 超出求解上限 %d"
 SAY_COMPONENT_LINKS = "单个重叠区域的候选关联数 %d 超出求解上限 %d"
 
-_SIDE = ["uid", "field_idx", "particle_id", "filter_x", "filter_y"]
+_SIDE = ["uid", "field_idx", "particle_id", "n", "filter_x", "filter_y"]
 
 
 def _sides(observations: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    shared = ["submission_id", "category", *keys]
-    a = observations.select(*shared, "tolerance", *(F.col(c).alias(f"a_{c}") for c in _SIDE))
-    b = observations.select(*shared, *(F.col(c).alias(f"b_{c}") for c in _SIDE))
+    shared, own = ["submission_id", "category", *keys], [c for c in _SIDE if c in observations.columns]
+    a = observations.select(*shared, "tolerance", *(F.col(c).alias(f"a_{c}") for c in own))
+    b = observations.select(*shared, *(F.col(c).alias(f"b_{c}") for c in own))
     return a, b
 
 
@@ -31,9 +31,18 @@ def _linked(pairs: DataFrame) -> DataFrame:
     near = within(F.col("a_filter_x"), F.col("a_filter_y"), F.col("b_filter_x"), F.col("b_filter_y"), F.col("tolerance"))
     weight = manhattan(F.col("a_filter_x"), F.col("a_filter_y"), F.col("b_filter_x"), F.col("b_filter_y"))
     kept = pairs.where((F.col("a_field_idx") < F.col("b_field_idx")) & near)
+    if "a_n" in pairs.columns:
+        return kept.select("submission_id", "category", "a_uid", "b_uid", (F.col("a_n") * F.col("b_n")).alias("n"))
     return kept.select("submission_id", "category", "a_uid", "b_uid", F.col("a_particle_id").alias("a_id"), F.col("b_particle_id").alias("b_id"), weight.alias("w"))
 
 
+def places(observations: DataFrame) -> DataFrame:
+    """(submission_id, category, tolerance, field_idx, filter_x, filter_y, uid, n): the n observations of one field, category
+    and position as one place, with their least uid. They have the same links, so links of places (with n, the links that
+    they stand for) tell how many links there are and what hangs together, however many observations lie together."""
+    return observations.groupBy("submission_id", "category", "tolerance", "field_idx", "filter_x", "filter_y").agg(F.min("uid").alias("uid"), F.count("*").alias("n"))
+
+
 def candidate_links(observations: DataFrame) -> DataFrame:
     """(submission_id, category, a_uid, b_uid, a_id, b_id, w): observations of one submission and category in different
     fields whose coordinates differ by the tolerance at most. uid order is field order, so a is the earlier."""
@@ -92,8 +101,8 @@ def refused_links(observations: DataFrame) -> DataFrame:
         return few.withColumn("n_links", F.lit(0).cast("bigint"))
     many = observations.join(few, "submission_id", "left_semi")
     open_ = link_bounds(many).where(F.col("at_most") > MOST_LINKS).select("submission_id")
-    counted = link_counts(candidate_links_banded(many.join(settled(open_), "submission_id", "left_semi")))
-    return counted.where("over_limit").select("submission_id", "n_links")
+    met = candidate_links_banded(places(many.join(settled(open_), "submission_id", "left_semi")))
+    return met.groupBy("submission_id").agg(F.sum("n").alias("n_links")).where(F.col("n_links") > MOST_LINKS)
 
 
 def link_counts(links: DataFrame) -> DataFrame:
@@ -103,9 +112,10 @@ def link_counts(links: DataFrame) -> DataFrame:
 
 
 def component_sizes(links: DataFrame, components: DataFrame) -> DataFrame:
-    """(submission_id, component, n_nodes, n_links, over_limit)."""
-    nodes = components.groupBy("submission_id", "component").agg(F.count("*").alias("n_nodes"))
-    edges = with_component(links, components).groupBy("submission_id", "component").agg(F.count("*").alias("n_links"))
+    """(submission_id, component, n_nodes, n_links, over_limit); of places' links and components where both have n."""
+    counted = lambda rows: F.sum("n") if "n" in rows.columns else F.count("*")
+    nodes = components.groupBy("submission_id", "component").agg(counted(components).alias("n_nodes"))
+    edges = with_component(links, components.select("submission_id", "uid", "component")).groupBy("submission_id", "component").agg(counted(links).alias("n_links"))
     both = nodes.join(edges, ["submission_id", "component"])
     return both.withColumn("over_limit", (F.col("n_nodes") > MOST_COMPONENT_NODES) | (F.col("n_links") > MOST_COMPONENT_LINKS))
 

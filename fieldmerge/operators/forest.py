@@ -7,11 +7,11 @@ steps, the component's legal groups are grown by joins, and the best partition a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,38 +134,52 @@ def best_forest(fields: list[int], ranks: list[int], points: list[tuple[int, int
     return done[0], done[1], sorted(done[3])
 
 
-def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = []
-        for row in batch.itertuples(index=False):
-            nodes = sorted(row.nodes, key=lambda x: x["uid"])
-            place = {x["uid"]: i for i, x in enumerate(nodes)}
-            links = {(place[x["a_uid"]], place[x["b_uid"]]): x["w"] for x in row.links}
-            try:
-                _, _, chosen = best_forest([x["field_idx"] for x in nodes], [x["id_rank"] for x in nodes], [(x["filter_x"], x["filter_y"]) for x in nodes], links)
-                found += [(row.submission_id, row.component, nodes[a]["uid"], nodes[b]["uid"]) for a, b in chosen]
-            except WorkExceeded:
-                found.append((row.submission_id, row.component, None, None))
-        yield pd.DataFrame(found, columns=["submission_id", "component", "a_uid", "b_uid"]).astype({"a_uid": "Int32", "b_uid": "Int32"})
-
-
-def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Components that are Python objects at a time: one may have thousands of links.
+FEW = 64
+
+
+def _each(batches: Iterator[pa.RecordBatch], solve: Callable[[dict], list[tuple]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What solve finds for each row (submission_id, component, links, nodes), a few rows at a time."""
     for batch in batches:
+        own = [batch.schema.field("submission_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        for at in range(0, batch.num_rows, FEW):
+            found = [(row["submission_id"], row["component"], *x) for row in batch.slice(at, FEW).to_pylist() for x in solve(row)]
+            columns = zip(*found, strict=True) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, own)], names)
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(row):
+        nodes = sorted(row["nodes"], key=lambda x: x["uid"])
+        place = {x["uid"]: i for i, x in enumerate(nodes)}
+        links = {(place[x["a_uid"]], place[x["b_uid"]]): x["w"] for x in row["links"]}
+        try:
+            _, _, chosen = best_forest([x["field_idx"] for x in nodes], [x["id_rank"] for x in nodes], [(x["filter_x"], x["filter_y"]) for x in nodes], links)
+            return [(nodes[a]["uid"], nodes[b]["uid"]) for a, b in chosen]
+        except WorkExceeded:
+            return [(None, None)]
+
+    return _each(batches, solve, ["submission_id", "component", "a_uid", "b_uid"])
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(row):
         found = []
-        for row in batch.itertuples(index=False):
-            taken = {x["uid"]: 1 << x["field_idx"] for x in row.nodes}
-            up = {x["uid"]: x["uid"] for x in row.nodes}
-            for link in sorted(row.links, key=lambda x: (x["w"], x["a_uid"], x["b_uid"])):
-                a, b = link["a_uid"], link["b_uid"]
-                while up[a] != a:
-                    a = up[a]
-                while up[b] != b:
-                    b = up[b]
-                if a != b and not taken[a] & taken[b]:
-                    up[b] = a
-                    taken[a] |= taken[b]
-                    found.append((row.submission_id, row.component, link["a_uid"], link["b_uid"], link["w"]))
-        yield pd.DataFrame(found, columns=["submission_id", "component", "a_uid", "b_uid", "w"])
+        taken = {x["uid"]: 1 << x["field_idx"] for x in row["nodes"]}
+        up = {x["uid"]: x["uid"] for x in row["nodes"]}
+        for link in sorted(row["links"], key=lambda x: (x["w"], x["a_uid"], x["b_uid"])):
+            a, b = link["a_uid"], link["b_uid"]
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            if a != b and not taken[a] & taken[b]:
+                up[b] = a
+                taken[a] |= taken[b]
+                found.append((link["a_uid"], link["b_uid"], link["w"]))
+        return found
+
+    return _each(batches, solve, ["submission_id", "component", "a_uid", "b_uid", "w"])
 
 
 def _ranked(observations: DataFrame, components: DataFrame) -> DataFrame:
@@ -188,7 +202,7 @@ def searched_links(observations: DataFrame, links: DataFrame, components: DataFr
     own = with_component(links, components).withColumn("n", F.count("*").over(Window.partitionBy("submission_id", "component")))
     columns = ["submission_id", "component", "a_uid", "b_uid"]
     kind = links.schema["submission_id"].dataType.simpleString()
-    solved = _rows(observations, own.where("n > 1"), components).mapInPandas(_solved, f"submission_id {kind}, component int, a_uid int, b_uid int")
+    solved = _rows(observations, own.where("n > 1"), components).mapInArrow(_solved, f"submission_id {kind}, component int, a_uid int, b_uid int")
     first = settled(own.where("n = 1").select(*columns).unionByName(solved))
     dense = settled(first.where("a_uid is null").select("submission_id", "component"))
     if dense.isEmpty():
@@ -216,7 +230,7 @@ def greedy_links(observations: DataFrame, links: DataFrame, components: DataFram
     without a common field. A first guess, not the best forest, unless no field occurs twice."""
     kind = links.schema["submission_id"].dataType.simpleString()
     weight = links.schema["w"].dataType.simpleString()
-    return _rows(observations, with_component(links, components), components).mapInPandas(_greedy, f"submission_id {kind}, component int, a_uid int, b_uid int, w {weight}")
+    return _rows(observations, with_component(links, components), components).mapInArrow(_greedy, f"submission_id {kind}, component int, a_uid int, b_uid int, w {weight}")
 
 
 def forest_values(chosen: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def crowded(observations: DataFrame) -> DataFrame:
 
 
 def refusals(links: DataFrame, parts: DataFrame) -> DataFrame:
-    """(submission_id, error_message) of submissions with a component beyond the solver's limits: the first one."""
+    """(submission_id, error_message) of submissions with a component beyond the solver's limits: the first one. links and
+    parts may be those of places."""
     sizes = candidates.component_sizes(links, parts).where("over_limit")
     nodes = _say(candidates.SAY_COMPONENT_NODES, "n_nodes", candidates.MOST_COMPONENT_NODES)
     said = F.when(F.col("n_nodes") > candidates.MOST_COMPONENT_NODES, nodes).otherwise(_say(candidates.SAY_COMPONENT_LINKS, "n_links", candidates.MOST_COMPONENT_LINKS))
@@ -71,10 +72,15 @@ def process_submissions(raw: DataFrame) -> DataFrame:
     submissions = settled(validate.normalised(good.select(F.col("row").alias("submission_id"), "body")))
     observations = settled(expand(submissions))
     over = settled(crowded(observations))
-    links = settled(candidates.planned_links(observations.join(over, "submission_id", "left_anti")))
-    parts = settled(components(links))
-    over = settled(over.unionByName(refusals(links, parts)))
-    solvable, links, parts = (x.join(over, "submission_id", "left_anti") for x in (observations, links, parts))
+    # what is refused is told from places; links are only written for the rest
+    places = settled(candidates.places(observations.join(over, "submission_id", "left_anti")))
+    met = settled(candidates.planned_links(places))
+    labelled = settled(places.join(components(met), ["submission_id", "uid"]))
+    over = settled(over.unionByName(refusals(met, labelled)))
+    solvable = observations.join(over, "submission_id", "left_anti")
+    links = settled(candidates.planned_links(solvable))
+    position = ["submission_id", "category", "field_idx", "filter_x", "filter_y"]
+    parts = settled(solvable.join(labelled.select(*position, "component"), position).select("submission_id", "uid", "component"))
     searched = settled(forest.searched_links(solvable, links, parts))
     given_up = searched.where("a_uid is null").select("submission_id", F.lit(forest.SAY_WORK).alias("error_message")).distinct()
     over = settled(over.unionByName(given_up))

@@ -5,7 +5,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from fieldmerge.operators import rules, validate
+from fieldmerge.operators import candidates, rules, validate
+from fieldmerge.operators.components import components
+from fieldmerge.operators.expand import expand
+from fieldmerge.plans.adjudicate import process_submissions
+from fieldmerge.plans.settled import settled
+from fieldmerge.sources.submissions import SUBMISSION
 from test_rules import changed
 from test_submissions import BAD, doc, field
 
@@ -48,3 +53,39 @@ def test_rule_bodies_are_dealt_by_rows(spark, tmp_path):
     one = spark.range(100_000).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit("m").alias("c_mktsegment"), F.lit(3).alias("c_nationkey"))
     one.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     assert rule_bodies(spark, str(tmp_path)).rdd.getNumPartitions() >= 20
+
+
+def test_components_hold_one_submission_at_a_time(spark):
+    """Links come to the labels in order, not as a list in a row; labels are the least uids."""
+    rnd = random.Random(8)
+    rows = [(s, "c", *sorted(rnd.sample(range(60), 2))) for s in range(40) for _ in range(rnd.randint(1, 60))]
+    links = settled(spark.createDataFrame(rows, "submission_id long, category string, a_uid int, b_uid int"))
+    made = components(links)
+    assert "collect_list" not in plan_of(made)
+    expected = {}
+    for s, _, a, b in rows:
+        for x in (a, b):
+            expected.setdefault((s, x), x)
+    for _ in range(60):
+        for s, _, a, b in rows:
+            expected[s, a] = expected[s, b] = min(expected[s, a], expected[s, b])
+    assert {(r["submission_id"], r["uid"]): r["component"] for r in made.collect()} == expected
+
+
+def test_refusals_are_told_from_places(spark, monkeypatch):
+    """Observations that lie together are one place: crowded submissions are refused without a link being written."""
+    rows = [(s, 5, [{"name": None, "offset": {"x": 0, "y": 0}, "particles": [{"id": f"{f}-{i}", "x": 1000 * (i // each) + i % 3, "y": i % 2, "category": "c"} for i in range(108)]} for f in range(5)]) for s, each in (("one", 108), ("two", 54), ("small", 27))]
+    observations = expand(spark.createDataFrame(rows, SUBMISSION))
+    places = settled(candidates.places(observations))
+    assert places.count() == 5 * 6 * (1 + 2 + 4)
+    met, parts = settled(candidates.planned_links(places)), settled(candidates.planned_links(observations))
+    labelled = settled(places.join(components(met), ["submission_id", "uid"]))
+    sizes = lambda links, labels: sorted(tuple(r) for r in candidates.component_sizes(links, labels).collect())
+    assert sizes(met, labelled) == sizes(parts, settled(components(parts)))
+    assert met.count() < parts.count() / 50
+    bodies = spark.createDataFrame([(s, json.dumps({"tolerance": t, "fields": [{k: v for k, v in f.items() if k != "name"} for f in fields]})) for s, t, fields in rows], "submission_id string, body string")
+    seen, plain = [], candidates.planned_links
+    monkeypatch.setattr(candidates, "planned_links", lambda x: seen.append((x.columns, x.count())) or plain(x))
+    said = {r["submission_id"]: r["error_message"] for r in process_submissions(bodies).collect()}
+    assert said == {"one": candidates.SAY_LINKS % (116640, 100000), "two": candidates.SAY_COMPONENT_NODES % (270, 200), "small": candidates.SAY_COMPONENT_LINKS % (7290, 5000)}
+    assert [n for columns, n in seen if "n" not in columns] == [0]
