@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines of orders that one task sorts, about.
+MOST_ROWS = 250_000
+
+
 def dealt(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     """Rows of a file, which is counted from its footers, by keys in parts of some `most` rows: more rows are more parts, so
     a task's time and memory don't grow with them."""
@@ -49,9 +53,11 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bodies(rows: DataFrame, tolerance: int) -> DataFrame:
     """(submission_id, body) as the service gets them, from (submission_id, field_idx, place, name, offset, particle)."""
-    fields = rows.groupBy("submission_id", "field_idx").agg(F.first("name").alias("name"), F.first("offset").alias("offset"), F.transform(F.array_sort(F.collect_list(F.struct("place", "particle"))), lambda p: p["particle"]).alias("particles"))
-    listed = fields.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("field_idx", "name", "offset", "particles"))).alias("fields"))
-    return listed.select("submission_id", F.to_json(F.struct(F.lit(tolerance).alias("tolerance"), F.transform("fields", lambda f: f.dropFields("field_idx")).alias("fields"))).alias("body"))
+    listed = rows.groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct("field_idx", "place", "name", "offset", "particle"))).alias("rows"))
+    listed = listed.withColumn("order", F.sort_array(F.array_distinct("rows.field_idx")))
+    own = F.transform("order", lambda i: F.filter("rows", lambda r: r["field_idx"] == i))
+    field = lambda of: F.struct(F.get(of, 0)["name"].alias("name"), F.get(of, 0)["offset"].alias("offset"), F.transform(of, lambda r: r["particle"]).alias("particles"))
+    return listed.withColumn("own", own).select("submission_id", F.to_json(F.struct(F.lit(tolerance).alias("tolerance"), F.transform("own", field).alias("fields"))).alias("body"))
 
 
 def event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +78,11 @@ def order_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate rows from the lineitem table for validation: an order is a submission, l_linenumber modulo 5 its field."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    by_order = Window.partitionBy("l_orderkey")
-    rows = li.withColumn("field_idx", F.dense_rank().over(by_order.orderBy(F.col("l_linenumber") % 5)) - 1)
-    place = Window.partitionBy("l_orderkey", "field_idx").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return rows.withColumn("particle_idx", F.row_number().over(place) - 1).select(
+    rows = dealt(li, MOST_ROWS, "l_orderkey").withColumn("m", F.col("l_linenumber") % 5)
+    # both windows read one order: that of the second begins with that of the first
+    place = Window.partitionBy("l_orderkey", "m").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = rows.withColumn("particle_idx", F.row_number().over(place) - 1)
+    return rows.withColumn("field_idx", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("m")) - 1).select(
         F.col("l_orderkey").alias("submission_id"), "field_idx", "particle_idx",
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("particle_id"),
         F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), F.col("l_returnflag").alias("category"),

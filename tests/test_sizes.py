@@ -10,10 +10,13 @@ from fieldmerge.operators.components import components
 from fieldmerge.operators.expand import expand
 from fieldmerge.plans.adjudicate import process_submissions
 from fieldmerge.plans.settled import settled
+from fieldmerge.sources import submissions
 from fieldmerge.sources.submissions import SUBMISSION
 from test_rules import changed
 from test_submissions import BAD, doc, field
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -89,3 +92,13 @@ def test_refusals_are_told_from_places(spark, monkeypatch):
     said = {r["submission_id"]: r["error_message"] for r in process_submissions(bodies).collect()}
     assert said == {"one": candidates.SAY_LINKS % (116640, 100000), "two": candidates.SAY_COMPONENT_NODES % (270, 200), "small": candidates.SAY_COMPONENT_LINKS % (7290, 5000)}
     assert [n for columns, n in seen if "n" not in columns] == [0]
+
+
+def test_orders_are_dealt_by_rows_and_sorted_once(spark, monkeypatch):
+    """More lines are more tasks, not larger ones, and both windows of order_fields read one order."""
+    made = submissions.order_fields(spark, SMALL)
+    lines = made.count()
+    monkeypatch.setattr(submissions, "MOST_ROWS", lines // 23)
+    more = submissions.order_fields(spark, SMALL)
+    assert more.rdd.getNumPartitions() >= 23 and plan_of(more).count("Sort [") == 1
+    assert sorted(map(tuple, more.collect())) == sorted(map(tuple, made.collect()))
