@@ -78,10 +78,10 @@ def order_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate rows from the lineitem table for validation: an order is a submission, l_linenumber modulo 5 its field."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    rows = dealt(li, MOST_ROWS, "l_orderkey").withColumn("m", F.col("l_linenumber") % 5)
-    # both windows read one order: that of the second begins with that of the first
-    place = Window.partitionBy("l_orderkey", "m").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = rows.withColumn("particle_idx", F.row_number().over(place) - 1)
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    # both windows read this one order
+    rows = dealt(li, MOST_ROWS, "l_orderkey").withColumn("m", F.col("l_linenumber") % 5).sortWithinPartitions("l_orderkey", "m", *order)
+    rows = rows.withColumn("particle_idx", F.row_number().over(Window.partitionBy("l_orderkey", "m").orderBy(*order)) - 1)
     return rows.withColumn("field_idx", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("m")) - 1).select(
         F.col("l_orderkey").alias("submission_id"), "field_idx", "particle_idx",
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("particle_id"),
