@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldmerge.operators import candidates, rules, validate
 from fieldmerge.operators.components import components
 from fieldmerge.operators.expand import expand
+from fieldmerge.plans import queries
 from fieldmerge.plans.adjudicate import process_submissions
 from fieldmerge.plans.settled import settled
 from fieldmerge.sources import submissions
@@ -100,5 +101,14 @@ def test_orders_are_dealt_by_rows_and_sorted_once(spark, monkeypatch):
     lines = made.count()
     monkeypatch.setattr(submissions, "MOST_ROWS", lines // 23)
     more = submissions.order_fields(spark, SMALL)
-    assert more.rdd.getNumPartitions() >= 23 and plan_of(more).count("Sort [") == 1
+    assert more.rdd.getNumPartitions() >= 23
+    assert plan_of(submissions.order_fields(spark, SMALL)).count("Sort [") == 1
     assert sorted(map(tuple, more.collect())) == sorted(map(tuple, made.collect()))
+
+
+def test_repeated_ids_keep_their_parts(spark, monkeypatch):
+    """Ids of an order are compared where its lines were dealt to, not after a further shuffle into a fixed number of parts."""
+    monkeypatch.setattr(submissions, "MOST_ROWS", 200)
+    found = queries.validation_issues_ids(spark, SMALL)
+    assert plan_of(found).count("Exchange hashpartitioning") == 1
+    assert found.rdd.getNumPartitions() >= 23
