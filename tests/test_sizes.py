@@ -112,3 +112,10 @@ def test_repeated_ids_keep_their_parts(spark, monkeypatch):
     found = queries.validation_issues_ids(spark, SMALL)
     assert plan_of(found).count("Exchange hashpartitioning") == 1
     assert found.rdd.getNumPartitions() >= 23
+
+
+def test_bodies_are_made_by_one_grouping(spark):
+    """An order's body is made where its lines were dealt to, by one aggregation."""
+    made = submissions.order_bodies(spark, SMALL)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan_of(made).count("Exchange hashpartitioning") == 1
