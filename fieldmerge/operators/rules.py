@@ -1,6 +1,7 @@
 """The validation rules on parsed JSON (VARIANT), as expressions: no Python process sees a body that the parser can read.
 
-A body is read with a marker after it, so that anything behind its end is seen. What this parser can't tell apart or won't
+A body is read with a marker after it, so that anything behind its end is seen. The parser interns every name that it reads, for
+all tasks of a process, so the marker is the same name for all bodies but those that may hold it. What this parser can't tell apart or won't
 read (repeated keys, very long numbers, deep nesting, escaped surrogates, invalid JSON) is left to validate.inspect, which
 says the same of any body.
 """
@@ -17,6 +18,8 @@ from fieldmerge.plans.settled import settled
 #: The shape of most bodies, read at once; one of any other shape is read member by member.
 _SHAPE = "array<struct<name:variant,offset:struct<x:variant,y:variant>,particles:array<struct<id:variant,x:variant,y:variant,category:variant>>>>"
 _EVENT = "array<struct<at:bigint,kind:string,path:string,text:string>>"
+#: The name after a body that can't hold it.
+MARKER = "behind"
 
 
 def _part(value: Column, name: str, kind: str = "variant") -> Column:
@@ -39,8 +42,9 @@ def _text(value: Column) -> Column:
 
 def _whole(value: Column, least: int, most: int) -> Column:
     """A number that is whole as a double and within the limits."""
-    number = F.when(~F.schema_of_variant(value).isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "double"))
-    return F.coalesce(F.get(F.transform(F.array(number), lambda n: (n >= least) & (n <= most) & (n % 1 == 0)), 0), F.lit(False))
+    number = F.array(F.try_variant_get(value, "$", "double"))
+    fits = F.coalesce(F.get(F.transform(number, lambda n: (n >= least) & (n <= most) & (n % 1 == 0)), 0), F.lit(False))
+    return fits & ~F.schema_of_variant(value).isin("STRING", "BOOLEAN")  # only asked of what fits
 
 
 def _longer(text: Column, most: int) -> Column:
@@ -133,9 +137,11 @@ def _is_named(p: Column) -> Column:
 def _read(bodies: DataFrame) -> DataFrame:
     """Parsed bodies with own, the events of the body and its fields, and particles, all of them, as read and judged. Each
     step is a column of its own, so it is taken once however often later ones use it."""
-    members = bodies.withColumn("fields", _items(_part(F.col("doc"), "fields"))).withColumn("shaped", F.try_variant_get("doc", "$.fields", _SHAPE))
-    known = F.when(F.col("shaped").isNotNull(), F.transform("shaped", _shaped_field)).otherwise(F.transform("fields", _any_field))
-    read = members.withColumn("n", F.size("fields")).withColumn("fields", F.when(F.col("fields").isNotNull(), known)).drop("shaped")
+    members = bodies.withColumn("shaped", F.try_variant_get("doc", "$.fields", _SHAPE)).withColumn("usual", F.col("shaped").isNotNull())
+    # what has the shape isn't copied a second time, item by item
+    members = members.withColumn("fields", F.when(~F.col("usual"), _items(_part(F.col("doc"), "fields"))))
+    known = F.when(F.col("usual"), F.transform("shaped", _shaped_field)).otherwise(F.transform("fields", _any_field))
+    read = members.withColumn("fields", known).withColumn("n", F.size("fields")).drop("shaped")
     read = read.withColumn("particles", F.coalesce(F.flatten(F.filter(F.transform("fields", lambda f: f["particles"]), lambda p: p.isNotNull())), F.array()))
     first = lambda slot: F.lit(slot - 10)
     own = _events(
@@ -146,14 +152,19 @@ def _read(bodies: DataFrame) -> DataFrame:
     )
     inner = F.coalesce(F.flatten(F.transform("fields", _field_events)), F.array().cast(_EVENT))
     no_object = _events((F.lit(True), first(0), "issue", F.lit(""), v.SAY_BODY))
-    return read.withColumn("own", F.when(_is_object(F.col("doc")), F.concat(own, inner)).otherwise(no_object))
+    return read.withColumn("own", F.when(F.col("usual") | _is_object(F.col("doc")), F.concat(own, inner)).otherwise(no_object)).drop("usual")
+
+
+def _marker(body: Column) -> Column:
+    """MARKER, or for a body that may hold it, as it stands or by escapes, a name of its own: none holds its own hash."""
+    return F.when(body.contains("\\u") | body.contains(MARKER), F.sha2(body, 256)).otherwise(F.lit(MARKER))
 
 
 def parsed(bodies: DataFrame) -> DataFrame:
     """Bodies (submission_id, body) with doc, the parsed body, which is null where it is left to validate.inspect."""
     whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"d":'), F.col("body"), F.lit(',"'), F.col("marker"), F.lit('":0}'))), "$", "map<string,variant>")
     alone = (F.size("whole") == 2) & F.map_contains_key("whole", F.col("marker")) & ~F.col("body").rlike(r"\\u[dD][89a-fA-F]")
-    made = bodies.withColumn("marker", F.sha2("body", 256)).withColumn("whole", whole)
+    made = bodies.withColumn("marker", _marker(F.col("body"))).withColumn("whole", whole)
     return made.withColumn("doc", F.when(alone, F.try_element_at("whole", F.lit("d")))).drop("marker", "whole")
 
 

@@ -119,3 +119,17 @@ def test_bodies_are_made_by_one_grouping(spark):
     made = submissions.order_bodies(spark, SMALL)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1 and plan_of(made).count("Exchange hashpartitioning") == 1
+
+
+def test_bodies_share_a_marker(spark):
+    """The parser keeps the names that it reads: bodies don't bring one each. A body that may hold the marker has its own."""
+    whole = json.dumps(doc())
+    plain = spark.range(500).select(F.concat(F.lit('{"tolerance":'), F.col("id").cast("string"), F.lit("}")).alias("body"))
+    assert [r["m"] for r in plain.select(rules._marker(F.col("body")).alias("m")).distinct().collect()] == [rules.MARKER]
+    name = "".join(f"\\u{ord(c):04x}" for c in rules.MARKER)
+    bodies = [start + f'{between}"{m}":0{end}' for m in (rules.MARKER, name, name[:6] + rules.MARKER[1:]) for start in (whole, "{}", "1") for between in (",", " ,") for end in ("", "}", "}}", "},", '},"x":1')]
+    bodies += [whole[:-1] + f',"{m}":0}}' for m in (rules.MARKER, name)]
+    made = rules.concluded(spark.createDataFrame(list(enumerate(bodies)), "named int, body string"))
+    for r in made.unionByName(validate.concluded(made.where("issues is null").drop("issues"))).where("issues is not null").collect():
+        assert [i.asDict() for i in r["issues"]] == validate.conclude(bodies[r["named"]])[0], bodies[r["named"]]
+    assert {r["named"] for r in made.where("issues is not null").collect()} == {len(bodies) - 2, len(bodies) - 1}
